@@ -40,32 +40,27 @@ def tokens(text) -> Column:
     return F.filter(F.split(_c(text), TOKEN_SEPARATOR), lambda t: t != F.lit(""))
 
 
-def bigrams(text) -> Column:
-    """Adjacent token pairs joined by one space (tokens hold no spaces).
+def ngrams(text, n: int) -> Column:
+    """Adjacent token n-grams joined by one space (tokens hold no spaces).
 
-    Guard size < 2: ``sequence(0, -1)`` would count down.
+    Built from n shifted slices combined by ``zip_with`` (O(tokens)); a
+    lambda that indexes the token array would re-split the text per element.
+    ``zip_with`` pads the shorter side with NULL, so the incomplete tail
+    n-grams are NULL and filtered out (fewer than n tokens -> empty array).
     """
     t = tokens(text)
-    return F.when(F.size(t) < 2, F.array().cast("array<string>")).otherwise(
-        F.transform(
-            F.sequence(F.lit(0), F.size(t) - 2),
-            lambda i: F.concat(F.get(t, i), F.lit(" "), F.get(t, i + 1)),
-        )
-    )
+    if n == 1:
+        return t
+    size = F.size(t)
+    acc = t
+    for j in range(1, n):
+        shifted = F.slice(t, j + 1, F.greatest(size - j, F.lit(0)))
+        acc = F.zip_with(acc, shifted, lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.filter(acc, lambda x: x.isNotNull())
 
 
-def ngrams(text, n: int) -> Column:
-    if n == 1:
-        return tokens(text)
-    if n == 2:
-        return bigrams(text)
-    t = tokens(text)
-    return F.when(F.size(t) < n, F.array().cast("array<string>")).otherwise(
-        F.transform(
-            F.sequence(F.lit(0), F.size(t) - n),
-            lambda i: F.array_join(F.slice(t, i + 1, n), " "),
-        )
-    )
+def bigrams(text) -> Column:
+    return ngrams(text, 2)
 
 
 def distinct_tokens(text) -> Column:
