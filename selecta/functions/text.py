@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from selecta.functions.core import let
+
 # Token separator class and the sentence pattern (no
 # look-behind, so DuckDB's RE2 accepts the same pattern).
 TOKEN_SEPARATOR = r"[ \t\n\r]+"
@@ -48,15 +50,18 @@ def ngrams(text, n: int) -> Column:
     ``zip_with`` pads the shorter side with NULL, so the incomplete tail
     n-grams are NULL and filtered out (fewer than n tokens -> empty array).
     """
-    t = tokens(text)
     if n == 1:
-        return t
-    size = F.size(t)
-    acc = t
-    for j in range(1, n):
-        shifted = F.slice(t, j + 1, F.greatest(size - j, F.lit(0)))
-        acc = F.zip_with(acc, shifted, lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.filter(acc, lambda x: x.isNotNull())
+        return tokens(text)
+
+    def build(t: Column) -> Column:
+        size = F.size(t)
+        acc = t
+        for j in range(1, n):
+            shifted = F.slice(t, j + 1, F.greatest(size - j, F.lit(0)))
+            acc = F.zip_with(acc, shifted, lambda a, b: F.concat(a, F.lit(" "), b))
+        return F.filter(acc, lambda x: x.isNotNull())
+
+    return let(tokens(text), build)
 
 
 def bigrams(text) -> Column:
