@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from selecta.functions.text import bigrams, dummy_fill, tokens
-from selecta.operators.joins import broadcast_if_small, one_row
+from selecta.operators.joins import one_row
 
 FIXED_POINT = 1e9
 
@@ -51,37 +51,41 @@ def open_ended_scores(df: DataFrame, responses: str = "responses") -> DataFrame:
 
 
 class UnigramLM:
-    """Corpus unigram model with add-k smoothing.
+    """Corpus unigram model with add-k smoothing: p(w) = (c(w) + k) / (T + k V),
+    V = distinct tokens + 1 (one slot for unseen tokens).
 
-    ``counts``: (token, c) — a distributed table (grows with the vocabulary);
-    ``total`` tokens and ``vocab`` (+1 for unseen) are two driver scalars.
+    ``counts`` (token, c) is a distributed table (grows with the vocabulary);
+    ``totals`` is its one-row aggregate (tt, vv). Fitting runs no job: the
+    counts aggregate appears twice in a scoring plan and Spark reuses the one
+    shuffle (ReuseExchange).
     """
 
-    def __init__(self, counts: DataFrame, total: int, vocab: int, k: float = 1.0):
-        self.counts, self.total, self.vocab, self.k = counts, total, vocab, k
+    def __init__(self, counts: DataFrame, k: float = 1.0):
+        self.counts, self.k = counts, k
+        self.totals = counts.agg(F.sum("c").alias("_tt"), (F.count(F.lit(1)) + 1).alias("_vv"))
 
     @classmethod
     def fit(cls, corpus: DataFrame, text: str = "text", k: float = 1.0) -> "UnigramLM":
         toks = corpus.select(F.explode(tokens(F.coalesce(_c(text), F.lit("")))).alias("token"))
-        counts = toks.groupBy("token").agg(F.count(F.lit(1)).alias("c"))
-        row = counts.agg(F.sum("c").alias("t"), F.count(F.lit(1)).alias("v")).first()
-        return cls(counts, int(row["t"] or 0), int(row["v"] or 0) + 1, k)
+        return cls(toks.groupBy("token").agg(F.count(F.lit(1)).alias("c")), k)
 
     def log_prob(self, c: Column) -> Column:
-        return F.log((F.coalesce(c, F.lit(0)) + F.lit(self.k)) / F.lit(self.total + self.k * self.vocab))
+        k = F.lit(self.k)
+        return F.log((F.coalesce(c, F.lit(0)) + k) / (F.col("_tt") + k * F.col("_vv")))
 
 
 def perplexity(df: DataFrame, lm: UnigramLM, text: str, keys: list[str], out: str = "perp") -> DataFrame:
     """M3: exp(-mean log p) per text (Q10: blank text scored as 'dummy string').
 
     Tokens are pre-aggregated per (text, token) before the join to the
-    vocabulary; the vocabulary is broadcast only when its checked size is
-    small, else the join shuffles on token and AQE splits hot tokens.
+    vocabulary, so a hot token costs one row per text, not one per use. The
+    vocabulary join is left to AQE: broadcast when the runtime size of the
+    vocabulary is under the threshold, else a shuffle join on token whose
+    skewed partitions AQE splits.
     """
     toks = df.select(*keys, F.explode(tokens(dummy_fill(_c(text)))).alias("token"))
     per = toks.groupBy(*keys, "token").agg(F.count(F.lit(1)).alias("cnt"))
-    vocab = broadcast_if_small(lm.counts)
-    j = per.join(vocab, "token", "left")
+    j = per.join(lm.counts, "token", "left").crossJoin(one_row(lm.totals))
     fixed = F.round(lm.log_prob(F.col("c")) * FIXED_POINT).cast("long") * F.col("cnt")
     agg = j.groupBy(*keys).agg(F.sum(fixed).alias("_s"), F.sum("cnt").alias("_n"))
     return agg.select(*keys, F.round(F.exp(-(F.col("_s") / FIXED_POINT) / F.col("_n")), 6).alias(out))
