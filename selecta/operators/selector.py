@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from selecta.functions.core import let
 from selecta.functions.text import distinct_tokens, parse_id_list, parse_ranking, tokens
 from selecta.operators.prompts import region_prompts
 
@@ -79,8 +80,10 @@ def resolve_positions(answers: DataFrame, k: int, fallback_offset: int = 0,
                         lambda x: x < rs)
     chosen = F.slice(F.coalesce(ids, fallback), 1, k)
     if top_up:
-        rest = F.filter(F.sequence(F.lit(0), rs - 1), lambda x: ~F.array_contains(chosen, x))
-        chosen = F.slice(F.concat(chosen, rest), 1, k)
+        def fill(c: Column) -> Column:
+            rest = F.filter(F.sequence(F.lit(0), rs - 1), lambda x: ~F.array_contains(c, x))
+            return F.slice(F.concat(c, rest), 1, k)
+        chosen = let(chosen, fill)
     return answers.select(
         "region_id", ids.isNotNull().alias("parsed"),
         F.posexplode(chosen).alias("pick", "pos"),
