@@ -80,8 +80,7 @@ def _bucket_sql(x: str) -> str:
     return f"CAST(CAST(('0x' || substr(md5({x}), 1, 8)) AS BIGINT) % 64 AS INTEGER)"
 
 
-MEAN_POOL_SQL = f"""
-WITH s AS (
+POOL_CTES = f"""s AS (
   SELECT doc_id, list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '[^.!?\\n]+[.!?]*'), lambda x: {strip("x")}), lambda x: x <> '') AS sents
   FROM documents),
 v AS (
@@ -91,9 +90,13 @@ v AS (
 m AS (
   SELECT doc_id, CASE WHEN len(vecs) > 0 THEN list_transform(
            list_reduce(vecs, lambda a, b: list_transform(list_zip(a, b), lambda p: p[1] + p[2])),
-           lambda x: x / len(vecs)) END AS mv FROM v)
-SELECT doc_id AS row_id, CASE WHEN {NRM("mv")} > 0 THEN list_transform(mv, lambda x: round(x / {NRM("mv")}, 6)) END AS vec
-FROM m"""
+           lambda x: x / len(vecs)) END AS mv FROM v),
+pv AS (
+  SELECT doc_id AS row_id, CASE WHEN {NRM("mv")} > 0 THEN list_transform(mv, lambda x: x / {NRM("mv")}) END AS vec
+  FROM m)"""
+
+MEAN_POOL_SQL = "WITH " + POOL_CTES + """
+SELECT row_id, list_transform(vec, lambda x: round(x, 6)) AS vec FROM pv"""
 
 
 @query("mean_pool", oracle=MEAN_POOL_SQL)
