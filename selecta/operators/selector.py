@@ -107,6 +107,13 @@ def local_select(members: DataFrame, k: int, selector: SelectorFn | None = None,
     return members.join(picks, ["region_id", "pos"])
 
 
+def prompts_answers(members: DataFrame, k: int, selector: SelectorFn, style: str = "local",
+                    concurrency: int | None = None) -> DataFrame:
+    """Build the region prompts and run a user selector on them: the answer
+    table (region_id, answer, in_tokens, out_tokens, region_size)."""
+    return run_selector(region_prompts(members, k, style), selector, concurrency)
+
+
 def token_usage(answers: DataFrame) -> DataFrame:
     """Totals of selector tokens."""
     return answers.agg(F.sum("in_tokens").cast("long").alias("in_tokens"),
@@ -129,3 +136,27 @@ def list_rank_pick(members: DataFrame, answers: DataFrame, which: str = "first")
     index = {"first": F.lit(1), "center": F.floor(rs / 2).cast("int") + 1, "last": rs}[which]
     picked = answers.select("region_id", F.element_at(final, index).alias("pos"), is_perm.alias("parsed"))
     return members.join(picked, ["region_id", "pos"])
+
+
+_MEMBER = None
+
+
+def longest_instruction_selector(batch: pd.DataFrame) -> pd.DataFrame:
+    """A deterministic stand-in for a model: reads only the prompt text, picks
+    the k members whose instruction is longest (ties: first listed) and
+    answers in the requested '[i, j]' form. Token counts are whitespace words."""
+    import re
+    global _MEMBER
+    if _MEMBER is None:
+        _MEMBER = re.compile(r"\[(\d+)\]\n\n### Instruction:\n (.*?)\n\n(?=### Input:|\[\d+\]\n\n### Instruction:|[^\[#])",
+                             re.S)
+    answers, tin, tout = [], [], []
+    for prompt, k in zip(batch["prompt"], batch["k"]):
+        members = [(int(m.group(1)), m.group(2)) for m in _MEMBER.finditer(prompt)]
+        ranked = sorted(members, key=lambda t: (-len(t[1]), t[0]))[: int(k)]
+        ans = "[" + ", ".join(str(i) for i, _ in ranked) + "]"
+        answers.append(ans)
+        tin.append(len(prompt.split()))
+        tout.append(len(ans.split()))
+    return pd.DataFrame({"region_id": batch["region_id"].astype("int32").values, "answer": answers,
+                         "in_tokens": tin, "out_tokens": tout})
