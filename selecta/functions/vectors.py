@@ -28,12 +28,14 @@ def norm(a) -> Column:
 
 def l2_normalize(a) -> Column:
     """V / ||v||; a zero vector gives NULL (the reference would give NaN)."""
-    return let(norm(a), lambda n: F.when(n > 0, F.transform(_c(a), lambda x: x.cast("double") / n)))
+    # bind the vector, then its norm: each is evaluated once per row
+    return let(_c(a), lambda v: let(norm(v), lambda n: F.when(n > 0, F.transform(v, lambda x: x.cast("double") / n))))
 
 
 def cosine(a, b) -> Column:
     """E5: dot / (||a|| ||b||); NULL when either norm is 0."""
-    return let(norm(a) * norm(b), lambda den: F.when(den > 0, dot(a, b) / den))
+    return let(F.struct(_c(a).alias("a"), _c(b).alias("b")), lambda p: let(
+        norm(p["a"]) * norm(p["b"]), lambda den: F.when(den > 0, dot(p["a"], p["b"]) / den)))
 
 
 def sq_euclidean(a, b) -> Column:
