@@ -73,3 +73,21 @@ def axis_bounds(df: DataFrame, x: str, y: str) -> DataFrame:
     """(min - 1, max + 1) of the two plot axes."""
     return df.agg((F.min(x) - 1).alias("x_min"), (F.max(x) + 1).alias("x_max"),
                   (F.min(y) - 1).alias("y_min"), (F.max(y) + 1).alias("y_max"))
+
+
+# Per-dataset job constants — new-token budget for generation
+# and region size for the region selector (anything else: the default row).
+DATASET_CONSTANTS = {
+    "all": {"max_new_tokens": 250, "region_size": 51},
+    "dolly": {"max_new_tokens": 150, "region_size": 14},
+    "cleaned_alpaca": {"max_new_tokens": 250, "region_size": 51},
+}
+DEFAULT_CONSTANTS = {"max_new_tokens": 200, "region_size": 51}
+
+
+def dataset_constant(data_set: Column, name: str) -> Column:
+    """A per-dataset constant as a literal map lookup (no join)."""
+    pairs = []
+    for k, v in DATASET_CONSTANTS.items():
+        pairs += [F.lit(k), F.lit(v[name])]
+    return F.coalesce(F.element_at(F.create_map(*pairs), data_set), F.lit(DEFAULT_CONSTANTS[name]))

@@ -104,6 +104,11 @@ def select(df: DataFrame, strategy: str, n: int, seed: int = 2023, **params) ->
         members = random_regions(df, n_regions, seed, layout=params.get("layout", "deal"),
                                  pad=params.get("pad", False))
         out = local_select(members, k, selector=params.get("selector"))
+        if params.get("check", True):
+            # Exactly n rows or fail (the count runs on the n-row result)
+            got = out.count()
+            if got != n:
+                raise ValueError(f"region selection returned {got} rows, expected {n}")
         return out
     raise AssertionError(strategy)
 
