@@ -105,9 +105,12 @@ def region_prompts(members: DataFrame, k: int, style: str = "local",
     feeds the rationale style (B6).
     """
     spec = STYLES[style]
+    extra = [F.map_from_entries(F.collect_list(F.struct("pos", "row_id"))).alias("_ids")] \
+        if "row_id" in members.columns else []
     grouped = members.groupBy("region_id").agg(
         F.count(F.lit(1)).cast("int").alias("region_size"),
         F.array_sort(F.collect_list(F.struct("pos", "instruction", "input"))).alias("_m"),
+        *extra,
     )
     if chosen is not None:
         grouped = grouped.join(chosen, "region_id", "left")
@@ -116,4 +119,5 @@ def region_prompts(members: DataFrame, k: int, style: str = "local",
     ch = (F.col("chosen_pos") + 1) if chosen is not None else None
     body = F.array_join(F.transform("_m", lambda m: _member_text(m, spec["null_input"])), "")
     prompt = F.concat(_fill(spec["header"], n, kk), body, _fill(spec["request"], n, kk, ch))
-    return grouped.select("region_id", "region_size", kk.alias("k"), prompt.alias("prompt"))
+    keep = ["_ids"] if extra else []
+    return grouped.select("region_id", "region_size", kk.alias("k"), prompt.alias("prompt"), *keep)

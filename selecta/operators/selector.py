@@ -36,6 +36,12 @@ def default_score(instruction="instruction", input_="input") -> Column:
     return distinct_tokens(F.concat_ws(" ", F.col(instruction), F.col(input_)))
 
 
+def _ids_map() -> Column:
+    """pos -> row_id of a region's members (bounded by the region size): the
+    answers carry it, so picks map to rows without joining the members back."""
+    return F.map_from_entries(F.collect_list(F.struct("pos", "row_id"))).alias("_ids")
+
+
 def scorer_answers(members: DataFrame, k: int, score: Column | None = None) -> DataFrame:
     """Built-in selector: (region_id, region_size, answer, in_tokens, out_tokens).
 
@@ -43,14 +49,14 @@ def scorer_answers(members: DataFrame, k: int, score: Column | None = None) -> D
     groups are bounded by the region size.
     """
     score = score if score is not None else default_score()
-    scored = members.select("region_id", "pos", score.alias("_score"))
+    scored = members.select("region_id", "pos", "row_id", score.alias("_score"))
     top = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("_score")).alias("s"), F.col("pos").alias("p")))),
                   1, k)
     agg = scored.groupBy("region_id").agg(F.count(F.lit(1)).cast("int").alias("region_size"),
-                                          top.alias("_top"))
+                                          top.alias("_top"), _ids_map())
     answer = F.concat(F.lit("["), F.array_join(F.transform("_top", lambda t: (t["p"] + 1).cast("string")), ", "),
                       F.lit("]"))
-    return agg.select("region_id", "region_size", answer.alias("answer"),
+    return agg.select("region_id", "region_size", "_ids", answer.alias("answer"),
                       F.lit(0).cast("long").alias("in_tokens"),
                       F.size(tokens(answer)).cast("long").alias("out_tokens"))
 
@@ -65,7 +71,9 @@ def run_selector(prompts: DataFrame, selector: SelectorFn, concurrency: int | No
             yield out[["region_id", "answer", "in_tokens", "out_tokens"]]
 
     answered = src.mapInPandas(call, ANSWER_SCHEMA)
-    return answered.join(prompts.select("region_id", "region_size"), "region_id")
+    keep = ["region_id", "region_size"] + (["_ids"] if "_ids" in prompts.columns else [])
+    # one row per region on both sides
+    return answered.join(prompts.select(*keep), "region_id")
 
 
 def resolve_positions(answers: DataFrame, k: int, fallback_offset: int = 0,
@@ -84,11 +92,15 @@ def resolve_positions(answers: DataFrame, k: int, fallback_offset: int = 0,
             rest = F.filter(F.sequence(F.lit(0), rs - 1), lambda x: ~F.array_contains(c, x))
             return F.slice(F.concat(c, rest), 1, k)
         chosen = let(chosen, fill)
-    return answers.select(
-        "region_id", ids.isNotNull().alias("parsed"),
+    carry = ["_ids"] if "_ids" in answers.columns else []
+    out = answers.select(
+        "region_id", *carry, ids.isNotNull().alias("parsed"),
         F.posexplode(chosen).alias("pick", "pos"),
     ).select("region_id", F.col("pick").cast("int").alias("pick"), F.col("pos").cast("int").alias("pos"),
-             "parsed")
+             "parsed", *carry)
+    if carry:
+        out = out.withColumn("row_id", F.element_at("_ids", F.col("pos"))).drop("_ids")
+    return out
 
 
 def local_select(members: DataFrame, k: int, selector: SelectorFn | None = None,
@@ -96,15 +108,17 @@ def local_select(members: DataFrame, k: int, selector: SelectorFn | None = None,
                  score: Column | None = None) -> DataFrame:
     """K rows per region. ``members``: (region_id, pos, row_id, instruction, input, ...).
 
-    Returns the members chosen, with ``pick`` (0..k-1, answer order).
+    Returns (region_id, pos, row_id, pick, parsed): ``pick`` is 0..k-1 in
+    answer order. Row ids come from the region aggregate itself, so the
+    members are ranked and shuffled once; fetch other columns with a join of
+    this n-row result on row_id (J3).
     """
     if selector is None:
         answers = scorer_answers(members, k, score)
     else:
         prompts = region_prompts(members, k, style)
         answers = run_selector(prompts, selector, concurrency)
-    picks = resolve_positions(answers, k, fallback_offset)
-    return members.join(picks, ["region_id", "pos"])
+    return resolve_positions(answers, k, fallback_offset)
 
 
 def prompts_answers(members: DataFrame, k: int, selector: SelectorFn, style: str = "local",
