@@ -6,14 +6,14 @@ result on any cluster size, any partitioning, and in DuckDB.
 
 ``global_rank`` gives a dense 0-based rank without ``row_number() over
 (order by ...)`` (which plans ``Exchange SinglePartition``): range-partition
-on the key, count rows per partition (P rows), turn counts into offsets
-(P rows, broadcast — bounded by the partition count, not by the data), add the
-position inside the partition. Both branches share one range shuffle
-(ReuseExchange), so the data is shuffled once.
+on the key once (persisted), count rows per partition (P rows), turn counts
+into offsets (a P-entry literal map — bounded by the partition count, not by
+the data), add the position inside the partition.
 """
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,26 +30,35 @@ def _partitions(df: DataFrame, num_partitions: int | None) -> int:
 
 def global_rank(df: DataFrame, order_cols: list, rank_col: str = "rank",
                 num_partitions: int | None = None) -> DataFrame:
-    """Append a 0-based rank by ``order_cols`` (must be a total order)."""
+    """Append a 0-based rank by ``order_cols`` (must be a total order).
+
+    The range-partitioned, sorted table is persisted once and both the
+    per-partition counts and the positions are read from that one copy.
+    (Two independent range exchanges may sample different bounds — the
+    sampling seed depends on the RDD — and then counts and positions would
+    disagree.) A lost cached partition is recomputed through the same RDD,
+    hence the same bounds. The counts are P rows (P = partitions): they go
+    to the driver and come back as a literal offset map.
+    """
     n = _partitions(df, num_partitions)
-    ranged = (
+    ranked = (
         df.repartitionByRange(n, *order_cols)
         .sortWithinPartitions(*order_cols)
         .withColumn("_pid", F.spark_partition_id())
         .withColumn("_mid", F.monotonically_increasing_id())
-    )
-    counts = ranged.groupBy("_pid").agg(F.min("_mid").alias("_base"), F.count(F.lit(1)).alias("_cnt"))
-    # One row per partition: this window runs over P rows, not over the data.
-    offsets = counts.select(
-        "_pid", "_base",
-        F.coalesce(F.sum("_cnt").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)).alias("_off"),
-    )
-    return (
-        ranged.join(F.broadcast(offsets), "_pid")
-        .withColumn(rank_col, (F.col("_off") + F.col("_mid") - F.col("_base")).cast("long"))
-        .drop("_pid", "_mid", "_base", "_off")
-    )
+    ).persist(StorageLevel.MEMORY_AND_DISK)
+    counts = sorted((r["_pid"], r["_base"], r["_cnt"]) for r in ranked.groupBy("_pid").agg(
+        F.min("_mid").alias("_base"), F.count(F.lit(1)).alias("_cnt")).collect())
+    start = {}
+    acc = 0
+    for pid, base, cnt in counts:
+        start[pid] = acc - base          # rank = _mid + start[_pid]
+        acc += cnt
+    if not start:
+        return ranked.withColumn(rank_col, F.lit(None).cast("long")).drop("_pid", "_mid")
+    shift = F.create_map(*[x for pid, v in start.items() for x in (F.lit(pid), F.lit(int(v)))])
+    return (ranked.withColumn(rank_col, (F.col("_mid") + F.element_at(shift, F.col("_pid"))).cast("long"))
+            .drop("_pid", "_mid"))
 
 
 def seeded_rank(df: DataFrame, seed: int, id_col: str = "row_id", rank_col: str = "rank",
