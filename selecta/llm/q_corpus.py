@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from selecta.llm import byte_bpe, decontaminate, exact_dedup
+from selecta.llm import byte_bpe, decontaminate, exact_dedup, private_data, secrets
 from selecta.llm.queries import query
 from selecta.sources.tables import read_table
 
@@ -47,3 +47,34 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d
 def op9(spark, sf_dir):
     """Groups of equal texts, by recipes of content-defined chunks."""
     return exact_dedup.exact_dedup(read_table(spark, sf_dir, "documents"))
+
+
+def _joined(spans):
+    """kind:start:end of each span, comma-joined in the array's order."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def _base():
+    return F.filter("spans", lambda s: s["base"])
+
+
+def _count(kind):
+    return F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
+
+
+@query("op2_private_data")
+def op2(spark, sf_dir):
+    """Personal data in every document: patterns, and a BiLSTM-CRF trained from them."""
+    found = private_data.find_private(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *[_count(k) for k in private_data.KINDS],
+                        F.sha2(_joined(_base()), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+
+
+@query("op4_secrets")
+def op4(spark, sf_dir):
+    """Secrets in every document, with how many documents and sources hold them."""
+    found = secrets.find_secrets(read_table(spark, sf_dir, "documents"))
+    of = lambda verdict: F.size(F.filter("spans", lambda s: s["verdict"] == verdict)).cast("long").alias(f"n_{verdict}")
+    return found.select("doc_id", *[_count(k) for k in ("assign", "access", "hex")],
+                        F.sha2(_joined(_base()), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"),
+                        of("live"), of("copied"))
