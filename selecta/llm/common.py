@@ -168,3 +168,32 @@ def window_hashes(h: np.ndarray, width: int, base: int = 0x9E3779B97F4A7C15) ->
 def partitions_for(spark: SparkSession) -> int:
     """Buckets to deal packed records to: the session's shuffle partitions."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+#: Bits of the broadcast bitmap of :func:`with_maybe`: 8 MB, whatever the input's size.
+MAYBE_BITS = 1 << 26
+
+
+def with_maybe(df: DataFrame, id_col: str, members: DataFrame, name: str) -> DataFrame:
+    """``df`` with the boolean column ``name``: false only for ids that are surely not among ``members``.
+
+    ``members`` has the one column ``id_col``. A bitmap of ``MAYBE_BITS`` hashed ids, at most 8 MB, is
+    broadcast; ids it lets through by chance are for a later exact step to sort
+    out. With more members than bits it lets all through, and that step does all the work.
+    """
+    slot = F.pmod(F.xxhash64(id_col), F.lit(MAYBE_BITS))
+    maps = (members.select(slot.alias("_slot")).groupBy(F.bitmap_bucket_number("_slot").alias("_bucket"))
+            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("_slot")).alias("_map")))
+    place = F.bitmap_bit_position(slot)
+    byte = F.conv(F.hex(F.substring(F.col("_map"), (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.call_function("getbit", byte, (place % 8).cast("int")) == 1
+    return (df.join(F.broadcast(maps), F.bitmap_bucket_number(slot) == F.col("_bucket"), "left")
+            .select(*[df[c] for c in df.columns], F.coalesce(bit, F.lit(False)).alias(name)))
+
+
+def by_bucket(bucket: np.ndarray, n: int):
+    """(bucket, indices of its records in order) for every bucket that has records."""
+    order = np.argsort(bucket.astype(np.uint16) if n <= 1 << 16 else bucket, kind="stable")
+    ends = np.cumsum(np.bincount(bucket.astype(np.int64), minlength=n))
+    for b in np.flatnonzero(np.diff(ends, prepend=0)):
+        yield int(b), order[(ends[b - 1] if b else 0):ends[b]]
