@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from selecta.llm.common import byte_rows, texts
+from selecta.llm.common import bounded_batches, byte_rows, texts
 
 WIDTH = 10
 SLICE_WORDS = 500_000
@@ -194,3 +194,21 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, id_
     placed = held.withColumn("text", F.when(F.size("hits") > 0, F.col("text"))).mapInArrow(
         spans, "doc_id long, n_words long, n_hit long, items array<bigint>, spans array<struct<start:bigint,end:bigint>>")
     return placed.withColumn("contaminated", F.col("n_hit") > 0)
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, text_col: str = "text",
+                      item_col: str = "item_id", item_text_col: str = "text", slice_words: int = SLICE_WORDS) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text holds no window of a benchmark item."""
+    bounded_batches(docs.sparkSession)
+    at = docs.columns.index(text_col)
+
+    def clean(shared):
+        def run(batches):
+            vocabulary, automaton = _automaton(shared)
+            for b in batches:
+                yield b.filter(pa.array([not scan(t, vocabulary, automaton)[1] for t in byte_rows(b.column(at))], pa.bool_()))
+        return run
+
+    for rows in _slices(benchmark, item_col, item_text_col, slice_words):
+        docs = docs.mapInArrow(clean(docs.sparkSession.sparkContext.broadcast(patterns(rows, width))), docs.schema)
+    return docs

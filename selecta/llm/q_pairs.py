@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from selecta.llm import substring_dedup
+from selecta.llm import similarity_join, substring_dedup
 from selecta.llm.queries import query
 from selecta.sources.tables import read_table
 
 
+@query("op5_similarity_join")
+def op5(spark, sf_dir):
+    """Components of documents whose sets of 4-word shingles have a Jaccard similarity of 0.85 or more."""
+    return similarity_join.similarity_classes(read_table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+
+
 @query("op6_substring_dedup")
 def op6(spark, sf_dir):
     """Every document without the 50-word windows that a document of smaller id holds."""

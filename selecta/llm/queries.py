@@ -26,4 +26,5 @@ def load() -> tuple[dict, dict]:
     for module in sorted(m.name for m in pkgutil.iter_modules(package.__path__)):
         if module.startswith("q_"):
             importlib.import_module(f"selecta.llm.{module}")
+    importlib.import_module("corpus_pipeline")
     return QUERIES, ORACLES
