@@ -320,7 +320,8 @@ def similarity_classes(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int
     comps, _ = link_components(groups, wanted, num, den)
     classes = classes.join(comps, classes["rep"] == comps["node"], "left").select("n", "one", "two", F.coalesce("comp", "rep").alias("comp"))
     named = sets.join(stage(classes, "named"), ["n", "one", "two"], "left").select("doc_id", F.col("n").alias("n_shingles"), "comp")
-    return named.select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))
+    return named.select("doc_id", "n_shingles", component.alias("component_id"))
 
 
 def keep_one(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
