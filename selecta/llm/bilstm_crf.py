@@ -120,7 +120,8 @@ class BiLstmCrf:
         np.add.at(grad["emb"], np.minimum(codes, 127).T.ravel(), dx.reshape(-1, dx.shape[2]))
         return float((logz - gold).mean()), {name: g / n for name, g in grad.items()}
 
-    def fit(self, codes, tags, epochs: int = 8, batch: int = 64, rate: float = 0.01, seed: int = 3):
+    def fit(self, codes, tags, steps: int = 320, batch: int = 64, rate: float = 0.03, seed: int = 3):
+        epochs = max(1, -(-steps * batch // len(codes)))
         r = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(w) for k, w in self.p.items()}

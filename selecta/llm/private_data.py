@@ -203,12 +203,12 @@ def training_windows(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray,
             np.frombuffer(b"".join(r["tags"] for r in rows), np.uint8).reshape(shape))
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE, epochs: int = 8) -> BiLstmCrf | None:
+def fit(docs: DataFrame, sample: int = SAMPLE, steps: int = 320) -> BiLstmCrf | None:
     """A model trained from the base spans of (doc_id, text) rows; None without any."""
     codes, wanted = training_windows(docs, sample)
     if not wanted.any():
         return None
-    return BiLstmCrf(1 + 2 * len(KINDS)).fit(codes, wanted, epochs=epochs)
+    return BiLstmCrf(1 + 2 * len(KINDS)).fit(codes, wanted, steps=steps)
 
 
 def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: BiLstmCrf | None = None,
