@@ -1,64 +1,48 @@
 """Evaluation: score predictions against ground truth per run and seed.
 
 J1 (pairs by key, not by position: Q24), E2/E3 ROUGE, J6/E5 diagonal
-cosine as an equi-join (O(N), never the N x N matrix), A13-A17 means.
+cosine, A13-A17 means.
 
-Default text vectors for cosine are exact bag-of-words counts (a sparse
-vector per text); cosine is computed by exploding (key, token) counts, one
-full outer join on (key, token) and one grouped sum — all integer sums, so
-exact and order-independent. A user encoder can instead supply dense
-``array<float>`` columns (``dense_cosine``).
+Text vectors for the cosine are exact bag-of-words counts. A pair's cosine
+needs its own two texts only, so it is a column computed row by row in Arrow
+batches: no token leaves its row, and nothing is shuffled.
 """
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from selecta.functions.rouge import rouge_l, rouge_n
 from selecta.functions.text import tokens
-from selecta.functions.vectors import cosine
-
-
-def _token_counts(df: DataFrame, keys: list[str], text: str, name: str) -> DataFrame:
-    return (df.select(*keys, F.explode(tokens(F.coalesce(F.col(text), F.lit("")))).alias("token"))
-            .groupBy(*keys, "token").agg(F.count(F.lit(1)).alias(name)))
-
-
-def bow_cosine(df: DataFrame, keys: list[str], a: str, b: str, out: str = "cosine") -> DataFrame:
-    """Cosine of the token-count vectors of columns a and b, per key; 0 when
-    either text has no tokens. Returns keys + ``out``."""
-    ca = _token_counts(df, keys, a, "_ca")
-    cb = _token_counts(df, keys, b, "_cb")
-    j = ca.join(cb, keys + ["token"], "full")
-    na, nb = F.coalesce(F.col("_ca"), F.lit(0)), F.coalesce(F.col("_cb"), F.lit(0))
-    s = j.groupBy(*keys).agg(F.sum(na * nb).alias("_dot"), F.sum(na * na).alias("_na"),
-                             F.sum(nb * nb).alias("_nb"))
-    cos = F.when((F.col("_na") > 0) & (F.col("_nb") > 0),
-                 F.col("_dot").cast("double") / F.sqrt(F.col("_na").cast("double") * F.col("_nb").cast("double"))) \
-        .otherwise(F.lit(0.0))
-    scored = s.select(*keys, cos.alias(out))
-    return df.select(*keys).join(scored, keys, "left").select(
-        *keys, F.coalesce(F.col(out), F.lit(0.0)).alias(out))
 
 
-def dense_cosine(a: Column, b: Column) -> Column:
-    return cosine(a, b)
+@F.pandas_udf(T.DoubleType())
+def _counts_cosine(a: pd.Series, b: pd.Series) -> pd.Series:
+    out = []
+    for x, y in zip(a, b):
+        cx, cy = Counter(x), Counter(y)
+        dot = sum(n * cy[t] for t, n in cx.items())
+        na, nb = sum(n * n for n in cx.values()), sum(n * n for n in cy.values())
+        out.append(dot / math.sqrt(na * nb) if na and nb else 0.0)
+    return pd.Series(out)
 
 
-def pair_scores(preds: DataFrame, keys: list[str], pred: str = "pred", gt: str = "gt",
-                with_rouge_l: bool = True) -> DataFrame:
-    """Per pair: rouge1/rouge2 (f, p, r) and optionally rougeL (f, p, r)."""
-    cols = [*keys, rouge_n(F.col(pred), F.col(gt), 1).alias("rouge1"),
-            rouge_n(F.col(pred), F.col(gt), 2).alias("rouge2")]
-    if with_rouge_l:
-        cols.append(rouge_l(F.col(pred), F.col(gt)).alias("rougeL"))
-    return preds.select(*cols)
+def bow_cosine(a: str, b: str) -> Column:
+    """Cosine of the token-count vectors of columns a and b; 0 when either text has no tokens."""
+    return _counts_cosine(tokens(F.coalesce(F.col(a), F.lit(""))), tokens(F.coalesce(F.col(b), F.lit(""))))
 
 
-def run_means(per_pair: DataFrame, run_keys: list[str], metrics: dict[str, Column]) -> DataFrame:
-    """Mean of each metric per run (e.g. per seed)."""
-    return per_pair.groupBy(*run_keys).agg(*[F.avg(c).alias(n) for n, c in metrics.items()])
+def matched_pairs(predictions: DataFrame, truths: DataFrame, key: str = "row_id") -> DataFrame:
+    """J1 (Q24): predictions and truths aligned by key, full outer, with ``match``:
+    both, prediction or truth (the last two are the unmatched rows)."""
+    p, t = predictions.withColumn("_p", F.lit(True)), truths.withColumn("_t", F.lit(True))
+    side = F.when(F.col("_p").isNull(), "truth").when(F.col("_t").isNull(), "prediction").otherwise("both")
+    return p.join(t, key, "full").withColumn("match", side).drop("_p", "_t")
 
 
 def seed_average(per_seed: DataFrame, group_keys: list[str], metrics: list[str]) -> DataFrame:

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from selecta.functions.rouge import rouge_l, rouge_n
-from selecta.operators.evaluate import bow_cosine, seed_average
+from selecta.operators.evaluate import bow_cosine, matched_pairs, seed_average
 from selecta.operators.features import UnigramLM, perplexity
 from selecta.plans.registry import query
-from selecta.plans.sqlbits import PREDS, tok, with_
+from selecta.plans.sqlbits import PREDS, ROUGE_L, recursive, tok, with_
 from selecta.sources.tables import read_table
-from selecta.sources.views import preds
+from selecta.sources.views import pairs, preds
 
 COS_SQL = with_(PREDS, f"""
 ta AS (SELECT row_id, seed, t AS token, count(*) AS ca FROM (SELECT row_id, seed, unnest({tok("coalesce(pred, '')")}) AS t FROM preds) GROUP BY ALL),
@@ -27,8 +27,7 @@ cs AS (SELECT p.row_id, p.seed, coalesce(CASE WHEN na > 0 AND nb > 0 THEN CAST(d
 @query("cosine_diag", oracle=COS_SQL + "SELECT row_id, seed, round(cosine, 4) AS cosine FROM cs")
 def q_cosine_diag(spark, sf_dir):
     """J6 + E5 + E11: cosine of each prediction with its own truth, rounded to 4."""
-    c = bow_cosine(preds(spark, sf_dir), ["row_id", "seed"], "pred", "gt")
-    return c.select("row_id", "seed", F.round("cosine", 4).alias("cosine"))
+    return preds(spark, sf_dir).select("row_id", "seed", F.round(bow_cosine("pred", "gt"), 4).alias("cosine"))
 
 
 EVAL_SQL = COS_SQL + f"""
@@ -51,15 +50,21 @@ by_seed AS (
 """
 
 
-def eval_by_seed(spark, sf_dir):
+def pair_metrics(spark, sf_dir):
+    """(row_id, seed, rouge1_f, rougeL_f, cosine, perp): the scores of every pair.
+
+    ROUGE and cosine need a pair's own texts only; perplexity joins the corpus vocabulary.
+    """
     p = preds(spark, sf_dir)
     keys = ["row_id", "seed"]
-    r1 = p.select(*keys, rouge_n(F.col("pred"), F.col("gt"), 1)["f"].alias("rouge1_f"))
-    cs = bow_cosine(p, keys, "pred", "gt").select(*keys, F.round("cosine", 4).alias("cosine"))
+    own = p.select(*keys, rouge_n(F.col("pred"), F.col("gt"), 1)["f"].alias("rouge1_f"),
+                   rouge_l(F.col("pred"), F.col("gt"))["f"].alias("rougeL_f"), F.round(bow_cosine("pred", "gt"), 4).alias("cosine"))
     lm = UnigramLM.fit(read_table(spark, sf_dir, "documents"), "text")
-    pp = perplexity(p, lm, "pred", keys)
-    per_pair = r1.join(cs, keys).join(pp, keys)
-    return per_pair.groupBy("seed").agg(
+    return own.join(perplexity(p, lm, "pred", keys), keys)
+
+
+def eval_by_seed(spark, sf_dir):
+    return pair_metrics(spark, sf_dir).groupBy("seed").agg(
         F.round(F.avg("rouge1_f"), 6).alias("rouge1_f"), F.round(F.avg("cosine"), 6).alias("cosine"),
         F.round(F.avg("perp"), 2).alias("perplexity"))
 
@@ -79,34 +84,43 @@ def q_eval_mean(spark, sf_dir):
                     F.round("perplexity", 2).alias("perplexity"))
 
 
-@query("eval_rougel")
+@query("eval_rougel", oracle=recursive(with_(PREDS, ROUGE_L)) + """
+, bs AS (SELECT seed, round(avg(f), 6) AS "rougeL_f" FROM rl GROUP BY seed)
+SELECT seed, "rougeL_f" FROM bs UNION ALL SELECT NULL, round(avg("rougeL_f"), 6) FROM bs""")
 def q_eval_rougel(spark, sf_dir):
     """A13 with ROUGE-L F (the reference's headline metric) per seed and averaged."""
-    p = preds(spark, sf_dir).repartition("row_id")
-    per = p.select("seed", rouge_l(F.col("pred"), F.col("gt"))["f"].alias("f"))
+    per = preds(spark, sf_dir).select("seed", rouge_l(F.col("pred"), F.col("gt"))["f"].alias("f"))
     by_seed = per.groupBy("seed").agg(F.round(F.avg("f"), 6).alias("rougeL_f"))
     mean = by_seed.agg(F.lit(None).cast("int").alias("seed"), F.round(F.avg("rougeL_f"), 6).alias("rougeL_f"))
     return by_seed.unionByName(mean)
 
 
-@query("eval_cross", oracle=EVAL_SQL.replace("WITH ", "WITH ", 1) + """
-, g2 AS (SELECT row_id, gt FROM preds WHERE seed = 2021),
-xp AS (SELECT p.seed AS train_seed, p.row_id, p.pred, g2.gt FROM preds p JOIN g2 ON g2.row_id = p.row_id + 2),
-xh AS (SELECT train_seed, row_id, pred, gt, list_distinct(""" + tok("coalesce(pred, '')") + """) AS hh,
-              list_distinct(""" + tok("coalesce(gt, '')") + """) AS gg FROM xp),
-xpr AS (SELECT train_seed, length(coalesce(pred, '')) > 0 AND length(coalesce(gt, '')) > 0 AS valid,
-               CASE WHEN len(hh) > 0 THEN len(list_intersect(hh, gg)) / len(hh) ELSE 0.0 END AS p,
-               CASE WHEN len(gg) > 0 THEN len(list_intersect(hh, gg)) / len(gg) ELSE 0.0 END AS r FROM xh)
-SELECT train_seed, round(avg(CASE WHEN valid AND p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END), 6) AS rouge1_f,
-       CAST(count(*) AS BIGINT) AS n_pairs
-FROM xpr GROUP BY train_seed""")
+#: Evaluation sets of the cross table: the conversations dealt into three.
+EVAL_SETS = 3
+
+
+@query("eval_cross", oracle=recursive(EVAL_SQL) + "," + ROUGE_L + f"""
+SELECT seed AS train_set, CAST((row_id // 100) % {EVAL_SETS} AS INTEGER) AS eval_set, round(avg(rl.f), 6) AS "rougeL_f",
+       round(avg(round(cs.cosine, 4)), 6) AS cosine, round(avg(pp.perp), 2) AS perplexity, CAST(count(*) AS BIGINT) AS n_pairs
+FROM rl JOIN cs USING (row_id, seed) JOIN pp USING (row_id, seed) GROUP BY ALL""")
 def q_eval_cross(spark, sf_dir):
-    """Cross evaluation — each run's predictions scored against another
-    set's ground truth (here: the truth of the next exchange
-    of the same conversation), pairs by key (Q24)."""
-    p = preds(spark, sf_dir)
-    g2 = p.filter(F.col("seed") == 2021).select((F.col("row_id") - 2).alias("row_id"), F.col("gt").alias("gt2"))
-    x = p.select(F.col("seed").alias("train_seed"), "row_id", "pred").join(g2, "row_id")
-    s = x.select("train_seed", rouge_n(F.col("pred"), F.col("gt2"), 1)["f"].alias("f"))
-    return s.groupBy("train_seed").agg(F.round(F.avg("f"), 6).alias("rouge1_f"),
-                                       F.count(F.lit(1)).alias("n_pairs"))
+    """Each run's predictions against the truths of each evaluation set, aligned by
+    key: mean ROUGE-L, cosine and perplexity per (train_set, eval_set)."""
+    m = pair_metrics(spark, sf_dir).select(
+        F.col("seed").alias("train_set"), (F.floor(F.col("row_id") / 100) % EVAL_SETS).cast("int").alias("eval_set"), "rougeL_f", "cosine", "perp")
+    return m.groupBy("train_set", "eval_set").agg(
+        F.round(F.avg("rougeL_f"), 6).alias("rougeL_f"), F.round(F.avg("cosine"), 6).alias("cosine"),
+        F.round(F.avg("perp"), 2).alias("perplexity"), F.count(F.lit(1)).alias("n_pairs"))
+
+
+@query("eval_unmatched", oracle=with_(PREDS) + """
+, p AS (SELECT row_id, seed FROM preds WHERE seed = 2021 AND row_id % 3 <> 1),
+t AS (SELECT row_id FROM pairs WHERE row_id % 5 <> 2)
+SELECT CASE WHEN p.row_id IS NULL THEN 'truth' WHEN t.row_id IS NULL THEN 'prediction' ELSE 'both' END AS match, count(*) AS n
+FROM p FULL JOIN t ON p.row_id = t.row_id GROUP BY ALL""")
+def q_eval_unmatched(spark, sf_dir):
+    """J1 (Q24): predictions and truths from two tables that each lack some
+    rows, aligned by key; how many match and how many do not."""
+    p = preds(spark, sf_dir).filter((F.col("seed") == 2021) & (F.col("row_id") % 3 != 1)).select("row_id", "pred")
+    t = pairs(spark, sf_dir).filter(F.col("row_id") % 5 != 2).select("row_id", "output")
+    return matched_pairs(p, t).groupBy("match").agg(F.count(F.lit(1)).alias("n"))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from selecta.functions.text import tokens
 from selecta.operators.features import UnigramLM, length_features, open_ended_scores, perplexity
 from selecta.operators.strategies import middle_slice, top_n
 from selecta.plans.registry import query
-from selecta.plans.sqlbits import INSTR, MULTI, PREDS, bigr, tok, with_
+from selecta.plans.sqlbits import INSTR, MULTI, PREDS, tok, with_
 from selecta.sources.tables import read_table
 from selecta.sources.views import instr, multi, preds
 
@@ -51,10 +52,12 @@ def q_length_big(spark, sf_dir):
 
 
 OE_SQL = with_(MULTI, f"""
-oe AS (SELECT row_id, prompt, responses,
-              CAST(len(list_distinct(flatten(list_transform(responses, lambda x: {bigr("x")})))) AS BIGINT)
-                AS n_unique_bigrams
-       FROM multi WHERE list_bool_and(list_transform(responses, lambda x: length(x) > 0)))
+lns AS (SELECT row_id, unnest(responses) AS x FROM multi),
+tks AS (SELECT row_id, {tok("x")} AS t FROM lns),
+bgs AS (SELECT row_id, unnest(list_transform(list_zip(t[1:len(t) - 1], t[2:]), lambda z: z[1] || ' ' || z[2])) AS b FROM tks WHERE len(t) > 1),
+nb AS (SELECT row_id, count(DISTINCT b) AS n FROM bgs GROUP BY 1),
+oe AS (SELECT row_id, prompt, responses, CAST(coalesce(n, 0) AS BIGINT) AS n_unique_bigrams FROM multi LEFT JOIN nb USING (row_id)
+       WHERE len(list_filter(responses, lambda x: length(x) = 0)) = 0)
 """)
 
 
@@ -89,7 +92,7 @@ def q_exemplar_report(spark, sf_dir):
 
     def label(df, side, order):
         # at most 7 rows: ranking them in one partition is bounded
-        w = __import__("pyspark.sql", fromlist=["Window"]).Window.orderBy(*order)
+        w = Window.orderBy(*order)
         return df.select(F.lit(side).alias("side"), F.row_number().over(w).cast("int").alias("rk"),
                          "row_id", "n_unique_bigrams", "prompt",
                          F.array_join("responses", "").alias("answers"))

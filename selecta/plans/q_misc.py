@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 from selecta.functions.text import template_infer, template_train, tokens
 from selecta.operators.pack import pack_sequences
+from selecta.operators.features import attach
 from selecta.plans.q_features import PERP_SQL, perp_table
+from selecta.plans.q_rouge import rouge_feature
 from selecta.plans.registry import query
-from selecta.plans.sqlbits import MULTI, PAIRS, PREDS, tok, with_
+from selecta.plans.sqlbits import MULTI, PAIRS, PREDS, ROUGE_L, recursive, tok, with_
 from selecta.sources.views import multi, pairs, preds
 from selecta.streaming.resume import group_samples, pending
 
@@ -72,17 +74,17 @@ def q_pca_2d(spark, sf_dir):
     return out.select("row_id", F.round(F.col("xy")[0], 6).alias("x"), F.round(F.col("xy")[1], 6).alias("y"))
 
 
-@query("meta_vector", oracle=PERP_SQL + """
+@query("meta_vector", oracle=recursive(PERP_SQL) + "," + ROUGE_L + """
 , lf AS (SELECT row_id, CAST(length(coalesce(input, '') || coalesce(instruction, '')) AS DOUBLE) AS raw FROM pairs),
 mx AS (SELECT max(raw) AS m FROM lf)
 SELECT fe.row_id, CASE WHEN fe.perp = 0 THEN NULL ELSE round(1.0 / fe.perp, 6) END AS inv_perp,
        [coalesce(CASE WHEN fe.perp = 0 THEN NULL ELSE round(1.0 / fe.perp, 6) END, 0.0),
-        round(CASE WHEN m > 0 THEN raw / m ELSE 0.0 END, 6), CAST(length(fe.output) AS DOUBLE)] AS meta
-FROM fe JOIN lf USING (row_id), mx""")
+        round(CASE WHEN m > 0 THEN raw / m ELSE 0.0 END, 6), round(rl.f, 6)] AS meta
+FROM fe JOIN lf USING (row_id) JOIN (SELECT * FROM rl WHERE seed = 2021) rl USING (row_id), mx""")
 def q_meta_vector(spark, sf_dir):
     """P20 + P21: reciprocal perplexity (NULL for 0 -> 0.0 in the vector) and
-    the (perp, length, third score) meta vector per row."""
-    f = perp_table(spark, sf_dir)
+    the (perplexity, length, ROUGE-L) meta vector per row."""
+    f = attach(perp_table(spark, sf_dir), rouge_feature(spark, sf_dir))
     raw = F.length(F.concat(F.coalesce("input", F.lit("")), F.coalesce("instruction", F.lit("")))).cast("double")
     f = f.withColumn("_raw", raw)
     mx = f.agg(F.max("_raw").alias("_m"))
@@ -90,4 +92,4 @@ def q_meta_vector(spark, sf_dir):
     inv = F.when(F.col("perp") == 0, F.lit(None).cast("double")).otherwise(F.round(1.0 / F.col("perp"), 6))
     ln = F.round(F.when(F.col("_m") > 0, F.col("_raw") / F.col("_m")).otherwise(F.lit(0.0)), 6)
     return f.select("row_id", inv.alias("inv_perp"),
-                    F.array(F.coalesce(inv, F.lit(0.0)), ln, F.length("output").cast("double")).alias("meta"))
+                    F.array(F.coalesce(inv, F.lit(0.0)), ln, F.col("rouge")).alias("meta"))

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from selecta.functions.rouge import rouge_l, rouge_n
 from selecta.operators.features import attach
 from selecta.operators.strategies import combined_filter, top_n
-from selecta.plans.q_features import PERP_SEED, perp_table
+from selecta.plans.q_features import PERP_SEED, PERP_SQL, perp_table
 from selecta.plans.registry import query
-from selecta.plans.sqlbits import PREDS, ngr, with_
+from selecta.plans.sqlbits import PREDS, ROUGE_L, ngr, recursive, with_
 from selecta.sources.views import pairs, preds
 
 
@@ -46,14 +46,10 @@ def q_rouge2(spark, sf_dir):
         .select("row_id", "seed", *_rouge_cols(F.col("s")))
 
 
-@query("rougel_pairs")
+@query("rougel_pairs", oracle=recursive(with_(PREDS, ROUGE_L)) + "SELECT row_id, seed, round(f, 6) AS f, round(p, 6) AS p, round(r, 6) AS r FROM rl")
 def q_rougel(spark, sf_dir):
-    """ROUGE-L f/p/r per pair (bit-parallel LCS in Arrow batches).
-
-    No SQL oracle (LCS is not expressible in the oracle's SQL at this size);
-    tests check it against a plain DP on a fixture.
-    """
-    p = preds(spark, sf_dir).repartition("row_id")
+    """ROUGE-L f/p/r per pair (bit-parallel LCS in Arrow batches)."""
+    p = preds(spark, sf_dir)
     return p.select("row_id", "seed", rouge_l(F.col("pred"), F.col("gt")).alias("s")) \
         .select("row_id", "seed", *_rouge_cols(F.col("s")))
 
@@ -64,14 +60,18 @@ def rouge_feature(spark, sf_dir):
     return p.select("row_id", F.round(rouge_l(F.col("pred"), F.col("gt"))["f"], 6).alias("rouge"))
 
 
-@query("rouge_feature_top")
+@query("rouge_feature_top", oracle=recursive(with_(PREDS, ROUGE_L)) + f"""
+SELECT row_id, instruction, input, output, round(f, 6) AS rouge FROM pairs JOIN (SELECT * FROM rl WHERE seed = {PERP_SEED}) USING (row_id)
+ORDER BY round(f, 6) DESC, row_id LIMIT 50""")
 def q_rouge_feature_top(spark, sf_dir):
     """The n rows whose prediction scores the highest ROUGE-L."""
     f = attach(pairs(spark, sf_dir), rouge_feature(spark, sf_dir))
     return top_n(f, "rouge", 50, ascending=False).select("row_id", "instruction", "input", "output", "rouge")
 
 
-@query("combined_filter")
+@query("combined_filter", oracle=recursive(PERP_SQL) + "," + ROUGE_L + f"""
+SELECT row_id, instruction, input, output, perp, round(f, 6) AS rouge FROM fe JOIN (SELECT * FROM rl WHERE seed = {PERP_SEED}) USING (row_id)
+WHERE perp > 0.3 AND round(f, 6) > 0.005 AND round(f, 6) < 0.7 ORDER BY row_id LIMIT 50""")
 def q_combined_filter(spark, sf_dir):
     """Perp > 0.3 and 0.005 < rouge < 0.7, first n by row_id."""
     feats = attach(perp_table(spark, sf_dir), rouge_feature(spark, sf_dir))

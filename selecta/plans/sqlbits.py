@@ -15,15 +15,18 @@ PAIRS = """pairs AS (
   WHERE u.role = 'user')"""
 
 PREDS = PAIRS + """,
+ptok AS (SELECT row_id, output, list_filter(regexp_split_to_array(output, '[ \\t\\n\\r]+'), lambda t: t <> '') AS tk FROM pairs),
 preds AS (
   SELECT p.row_id, CAST(d.seed AS INTEGER) AS seed, p.output AS gt,
-         substring(p.output, 1, CAST((length(p.output) * d.pct) // 100 AS INTEGER)) AS pred
-  FROM pairs p CROSS JOIN (VALUES (2021, 60), (2022, 75), (2023, 90)) d(seed, pct))"""
+         CASE WHEN p.output IS NOT NULL THEN array_to_string(list_transform(list_sort(list_filter(list_transform(range(0, len(tk)), lambda i:
+           {'k': (i // 3) * 3 + 2 - i % 3,
+            'h': CAST(('0x' || substr(md5(concat(d.seed, ':', p.row_id, ':', i)), 1, 2)) AS INTEGER), 't': tk[i + 1]}),
+           lambda x: x.h >= d.drp)), lambda x: CASE WHEN x.h < d.drp + d.swp THEN 'xx' ELSE x.t END), ' ') END AS pred
+  FROM ptok p CROSS JOIN (VALUES (2021, 20, 40), (2022, 30, 20), (2023, 10, 10)) d(seed, drp, swp))"""
 
 MULTI = """multi AS (
-  SELECT doc_id AS row_id, substring(text, 1, 40) AS prompt,
-         [coalesce(l[1], ''), coalesce(l[2], ''), coalesce(l[3], '')] AS responses
-  FROM (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents))"""
+  SELECT doc_id AS row_id, coalesce(l[1], '') AS prompt, coalesce(l, []) AS responses
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))"""
 
 POINTS = """points AS (SELECT vec_id AS row_id, embedding, label FROM embeddings)"""
 
@@ -32,6 +35,30 @@ def with_(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
 
 
+#: ROUGE-L of every prediction: rl (row_id, seed, f, p, r). The recursion goes
+#: through the anti-diagonals of the dynamic programme; a cell needs only the two
+#: diagonals before its own.
+ROUGE_L = """
+lt AS (SELECT row_id, seed, list_filter(regexp_split_to_array(coalesce(pred, ''), '[ \\t\\n\\r]+'), lambda t: t <> '') AS h,
+              list_filter(regexp_split_to_array(coalesce(gt, ''), '[ \\t\\n\\r]+'), lambda t: t <> '') AS g FROM preds),
+lcs AS (
+  SELECT row_id, seed, h, g, 1 AS d, list_transform(range(0, len(h) + 1), lambda i: 0) AS cur,
+         list_transform(range(0, len(h) + 1), lambda i: 0) AS prev FROM lt
+  UNION ALL
+  SELECT row_id, seed, h, g, d + 1, list_transform(range(0, len(h) + 1), lambda i:
+           CASE WHEN i = 0 OR d + 1 - i <= 0 OR d + 1 - i > len(g) THEN 0
+                WHEN h[i] = g[d + 1 - i] THEN prev[i] + 1 ELSE greatest(cur[i], cur[i + 1]) END), cur
+  FROM lcs WHERE d < len(h) + len(g)),
+ll AS (SELECT row_id, seed, len(h) AS m, len(g) AS n, CAST(cur[len(h) + 1] AS DOUBLE) AS l FROM lcs WHERE d = greatest(len(h) + len(g), 1)),
+lp AS (SELECT row_id, seed, CASE WHEN m > 0 THEN l / m ELSE 0.0 END AS p, CASE WHEN n > 0 THEN l / n ELSE 0.0 END AS r FROM ll),
+rl AS (SELECT row_id, seed, p, r, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END AS f FROM lp)"""
+
+
+def recursive(sql: str) -> str:
+    """A statement whose CTEs may refer to themselves."""
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 def tok(x: str) -> str:
     """Whitespace tokens of x, empties dropped."""
     return f"list_filter(regexp_split_to_array({x}, '[ \\t\\n\\r]+'), lambda t: t <> '')"

@@ -15,11 +15,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from selecta.functions.text import tokens
 from selecta.sources.tables import read_table
 
-# Seeds of the three evaluation runs and the share of the
-# ground truth each run's prediction keeps (percent).
-PRED_RUNS = [(2021, 60), (2022, 75), (2023, 90)]
+# The three evaluation runs as (seed, drop, replace): of every
+# 256 tokens of the truth, a run's predictions lose ``drop`` and have
+# ``replace`` others replaced.
+PRED_RUNS = [(2021, 20, 40), (2022, 30, 20), (2023, 10, 10)]
+REPLACED = "xx"
 
 
 def instr(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,24 +59,26 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def preds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = spark.createDataFrame(PRED_RUNS, "seed int, pct int")
-    p = pairs(spark, sf_dir)
+    """Predictions of each run: the whole truth with its tokens reversed in
+    threes, some dropped and some replaced, by a seeded hash of their place."""
+    runs = spark.createDataFrame(PRED_RUNS, "seed int, drop int, swap int")
     # The run table has len(PRED_RUNS) rows: a fixed, proven-small broadcast.
-    cut = F.expr("cast((length(output) * pct) div 100 as int)")
-    return p.crossJoin(F.broadcast(runs)).select(
-        "row_id", "seed", F.col("output").alias("gt"),
-        F.substring(F.col("output"), F.lit(1), cut).alias("pred"),
-    )
+    p = pairs(spark, sf_dir).select("row_id", F.col("output").alias("gt")).crossJoin(F.broadcast(runs))
+    place = F.concat_ws(":", F.col("seed").cast("string"), F.col("row_id").cast("string"))
+    items = F.transform(tokens(F.col("gt")), lambda t, i: F.struct(
+        (F.floor(i / 3) * 3 + 2 - i % 3).alias("k"),
+        F.conv(F.substring(F.md5(F.concat_ws(":", place, i.cast("string"))), 1, 2), 16, 10).cast("int").alias("h"), t.alias("t")))
+    kept = F.array_sort(F.filter(items, lambda x: x["h"] >= F.col("drop")))
+    pred = F.array_join(F.transform(kept, lambda x: F.when(x["h"] < F.col("drop") + F.col("swap"), REPLACED).otherwise(x["t"])), " ")
+    return p.select("row_id", "seed", "gt", pred.alias("pred"))
 
 
 def multi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of a document is a response; its first line is the prompt."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    lines = F.split(F.col("text"), "\n")
-    return docs.select(
-        F.col("doc_id").alias("row_id"),
-        F.substring("text", 1, 40).alias("prompt"),
-        F.array(*[F.coalesce(F.get(lines, i), F.lit("")) for i in range(3)]).alias("responses"),
-    )
+    lines = F.coalesce(F.split(F.col("text"), "\n"), F.array().cast("array<string>"))
+    return docs.select(F.col("doc_id").alias("row_id"), F.coalesce(F.get(lines, F.lit(0)), F.lit("")).alias("prompt"),
+                       lines.alias("responses"))
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
