@@ -1,21 +1,10 @@
-"""Join helpers: broadcast only behind a size check."""
+"""Join helpers."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A side is broadcast only when its row count is below this bound (checked
-# with a count, i.e. proven, not assumed). Above it the join shuffles and AQE
-# may still convert it at runtime from real shuffle statistics.
-BROADCAST_MAX_ROWS = 2_000_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Return ``broadcast(df)`` when df has at most ``max_rows`` rows, else df."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
 
 def one_row(df: DataFrame) -> DataFrame:
     """Mark a single-row aggregate for a broadcast cross join (size 1 by construction)."""

@@ -68,7 +68,7 @@ def seeded_rank(df: DataFrame, seed: int, id_col: str = "row_id", rank_col: str
 
 
 def sample_random_n(df: DataFrame, n: int, seed: int, id_col: str = "row_id",
-                    check_size: bool = False) -> DataFrame:
+                    check_size: bool = True) -> DataFrame:
     """Exactly n rows without replacement (TakeOrderedAndProject).
 
     Each partition keeps its n smallest keys, one task merges P*n rows: n is
@@ -91,13 +91,3 @@ def split_train_validation(df: DataFrame, seed: int, train_fraction: float = 0.8
     return ranked.withColumn(
         "split", F.when(F.col("rank") < cut, F.lit("train")).otherwise(F.lit("validation"))
     ).drop("rank")
-
-
-def split_by_hash(df: DataFrame, seed: int, train_fraction: float = 0.8,
-                  id_col: str = "row_id") -> DataFrame:
-    """W5 without a count or rank: a row trains when its hash falls below f.
-
-    Per-row and shuffle-free; the train share is f in expectation only.
-    """
-    u = F.conv(F.substring(seeded_key(seed, id_col), 1, 8), 16, 10).cast("double") / float(16 ** 8)
-    return df.withColumn("split", F.when(u < train_fraction, "train").otherwise("validation"))

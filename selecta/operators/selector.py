@@ -16,6 +16,7 @@ cut to k (T12) and top-up (Q17), then back to rows by (region_id, pos) (J3).
 
 from __future__ import annotations
 
+import time
 from typing import Callable
 
 import pandas as pd
@@ -61,6 +62,32 @@ def scorer_answers(members: DataFrame, k: int, score: Column | None = None) -> D
                       F.size(tokens(answer)).cast("long").alias("out_tokens"))
 
 
+NO_ANSWER = "N/A"
+
+
+def with_retry(call: SelectorFn, attempts: int = 5, first_wait: float = 0.5, longest_wait: float = 5.0,
+               sleep: Callable[[float], None] = time.sleep) -> SelectorFn:
+    """M4: a selector that calls ``call`` for one region at a time, waits and tries
+    again when it raises (0.5 s, doubling to 5 s), and answers ``N/A`` when all
+    ``attempts`` have failed. ``N/A`` does not parse, so the region falls back."""
+    def safe(batch: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for i in range(len(batch)):
+            row, wait = batch.iloc[i:i + 1], first_wait
+            for attempt in range(attempts):
+                try:
+                    out.append(call(row))
+                    break
+                except Exception:  # noqa: BLE001 - whatever the user's service raises
+                    if attempt + 1 < attempts:
+                        sleep(wait)
+                        wait = min(2 * wait, longest_wait)
+            else:
+                out.append(pd.DataFrame({"region_id": row["region_id"].values, "answer": [NO_ANSWER], "in_tokens": [0], "out_tokens": [0]}))
+        return pd.concat(out, ignore_index=True) if out else batch.assign(answer=[], in_tokens=[], out_tokens=[])
+    return safe
+
+
 def run_selector(prompts: DataFrame, selector: SelectorFn, concurrency: int | None = None) -> DataFrame:
     """Apply a user selector to (region_id, region_size, k, prompt) on executors."""
     src = prompts.repartition(concurrency, "region_id") if concurrency else prompts

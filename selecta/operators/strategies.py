@@ -35,13 +35,13 @@ def middle_slice(df: DataFrame, score: str, n: int, parity: bool = False, id_col
     ``parity=True`` the reference's literal slice [mid - n//2, mid + n//2),
     which yields n-1 rows for odd n.
     """
-    total = n_rows if n_rows is not None else df.count()
+    ranked = global_rank(df.withColumn("_s", _nan_last(F.col(score))),
+                         [F.col("_s").asc_nulls_last(), F.col(id_col)], "_rk")
+    total = n_rows if n_rows is not None else ranked.count()      # of the copy that the rank has made
     mid, half = total // 2, n // 2
     start = max(mid - half, 0)
     end = (mid + half) if parity else (start + n)
     end = min(end, total)
-    ranked = global_rank(df.withColumn("_s", _nan_last(F.col(score))),
-                         [F.col("_s").asc_nulls_last(), F.col(id_col)], "_rk")
     return ranked.filter((F.col("_rk") >= start) & (F.col("_rk") < end)).drop("_s", "_rk")
 
 
@@ -95,23 +95,47 @@ def select(df: DataFrame, strategy: str, n: int, seed: int = 2023, **params) ->
         from selecta.operators.coreset import coreset_select
         return coreset_select(df, n, seed=seed, **params)
     if strategy == "regions":
-        from selecta.operators.regions import random_regions
-        from selecta.operators.selector import local_select
-        n_regions = params.get("n_regions", 1000)
-        if n % n_regions:
-            raise ValueError(f"n={n} is not a multiple of n_regions={n_regions}")
-        k = n // n_regions
-        members = random_regions(df, n_regions, seed, layout=params.get("layout", "deal"),
-                                 pad=params.get("pad", False))
-        out = local_select(members, k, selector=params.get("selector"))
-        if params.get("check", True):
-            # Exactly n rows or fail (the count runs on the n-row result)
-            got = out.count()
-            if got != n:
-                raise ValueError(f"region selection returned {got} rows, expected {n}")
-        return out
+        return region_select(df, n, seed, **params)
     raise AssertionError(strategy)
 
 
-def region_count(n_rows: int, region_size: int) -> int:
-    return math.ceil(n_rows / region_size)
+PARTITIONS = ("random", "balanced", "similar", "farthest")
+
+
+def region_select(df: DataFrame, n: int, seed: int = 2023, n_regions: int = 1000, partition: str | None = None,
+                  layout: str = "deal", selector=None) -> DataFrame:
+    """``n_regions`` regions of ceil(N / n_regions) rows, n // n_regions rows picked in each; exactly n rows or an error.
+
+    ``partition``: ``random`` (X11), ``balanced`` (X12, k-means clusters; the
+    default when ``df`` has vectors), ``similar`` (X14) or ``farthest`` (X13).
+    """
+    from selecta.operators.kcenter import kcenter
+    from selecta.operators.regions import diverse_regions, farthest_regions, random_regions, similar_regions
+    from selecta.operators.selector import local_select
+    from selecta.operators.vectors import kmeans_centers
+    partition = partition or ("balanced" if "embedding" in df.columns else "random")
+    if partition not in PARTITIONS:
+        raise ValueError(f"unknown partition {partition!r}; choose one of {PARTITIONS}")
+    if n % n_regions:
+        raise ValueError(f"n={n} is not a multiple of n_regions={n_regions}")
+    k = n // n_regions
+    if partition == "random":
+        members = random_regions(df, n_regions, seed, layout=layout)
+    else:
+        total = df.count()
+        size = math.ceil(total / n_regions)
+        points = df.select("row_id", "embedding")
+        if partition == "balanced":
+            placed = diverse_regions(points, kmeans_centers(points, size), n_regions, pad=False, seed=seed, n_rows=total)
+        elif partition == "similar":
+            picks = kcenter(points, n_regions, seed=seed, mode="two_level")
+            seeds = picks.join(points, "row_id").select(F.col("pick").alias("cid"), F.col("embedding").alias("center"))
+            placed = similar_regions(points, seeds, size, pad=False, seed=seed, n_rows=total)
+        else:
+            placed = farthest_regions(points, size, pad=False, seed=seed, n_rows=total)
+        members = placed.join(df, "row_id")
+    out = local_select(members, k, selector=selector)
+    got = out.count()                          # on the n-row result
+    if got != n:
+        raise ValueError(f"region selection returned {got} rows, expected {n}")
+    return out

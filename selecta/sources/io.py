@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from selecta.session import path_exists
 from selecta.sources.tables import require_columns
 
 INSTRUCTION_SCHEMA = T.StructType([
@@ -44,14 +45,15 @@ def read_instructions(spark: SparkSession, path: str, fmt: str = "csv",
 
 
 def with_row_id(df: DataFrame, order_col: str | None = None) -> DataFrame:
-    """Fix a row_id at ingest: by an order column if given (global_rank),
-    else by the file position (input file + row offset are stable for a
-    given set of files)."""
+    """Fix a row_id at ingest: by an order column if given (ties by the row's
+    content), else by the place in the files: path, start of the split, then order in the split."""
     from selecta.operators.rank import global_rank
     if order_col:
-        return global_rank(df, [F.col(order_col)], "row_id")
-    keyed = df.withColumn("_f", F.input_file_name()).withColumn("_m", F.monotonically_increasing_id())
-    return global_rank(keyed, [F.col("_f"), F.col("_m")], "row_id").drop("_f", "_m")
+        tie = F.xxhash64(*df.columns)
+        return global_rank(df.withColumn("_t", tie), [F.col(order_col), F.col("_t")], "row_id").drop("_t")
+    keyed = df.select("*", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_s"),
+                      F.monotonically_increasing_id().alias("_m"))
+    return global_rank(keyed, [F.col("_f"), F.col("_s"), F.col("_m")], "row_id").drop("_f", "_s", "_m")
 
 
 def read_json_string_array(spark: SparkSession, path: str, value: str = "text") -> DataFrame:
@@ -100,6 +102,11 @@ def available_sizes(selections: DataFrame) -> DataFrame:
     return selections.select("n").distinct().orderBy("n")
 
 
+def write_scores(df: DataFrame, path: str, score: str, id_col: str = "row_id") -> None:
+    """One score per row, as parquet of (id, score)."""
+    df.select(id_col, score).write.mode("overwrite").parquet(path)
+
+
 def write_chunked(df: DataFrame, path: str, rows_per_file: int = 10_000_000) -> None:
     """Output in files of at most ``rows_per_file`` rows."""
     df.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file) \
@@ -131,10 +138,8 @@ def cached(df_fn, spark: SparkSession, root: str, name: str, params: Mapping) ->
     """Read the materialised table if complete (``_SUCCESS``), else
     compute, write and read it back. Unlike a file-exists check, a changed
     parameter set gets a new path, so stale results are never reused."""
-    import os
     path = param_path(root, name, params)
-    local = path[len("file:"):] if path.startswith("file:") else path
-    if not os.path.exists(os.path.join(local, "_SUCCESS")):
+    if not path_exists(spark, f"{path}/_SUCCESS"):
         df_fn().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 

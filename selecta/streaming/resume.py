@@ -11,7 +11,6 @@ it a batch job that can be killed and restarted at any point.
 
 from __future__ import annotations
 
-import os
 from typing import Callable
 
 import pandas as pd
@@ -19,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from selecta.functions.text import extract_response, strip_prompt_prefix
+from selecta.session import path_exists
 
 Generator = Callable[[pd.DataFrame], pd.DataFrame]
 
@@ -63,7 +63,7 @@ def incremental_generate(spark: SparkSession, source_dir: str, source_schema: st
 
     def batch(df: DataFrame, epoch_id: int) -> None:
         todo = df
-        if os.path.exists(out_dir) and any(n.endswith(".parquet") for n in os.listdir(out_dir)):
+        if path_exists(spark, f"{out_dir.rstrip('/')}/_SUCCESS"):
             todo = pending(df, spark.read.schema(out_schema).parquet(out_dir), key)
         run_generator(todo, generator, out_schema).write.mode("append").parquet(out_dir)
 
