@@ -12,7 +12,8 @@ Plan. Probes and blocks are 8-byte records (32 bits of hash, place in the batch)
 batch and bucket; buckets follow the hash, one for each shuffle partition. Before
 the shuffle a batch keeps one document of those that share a run, so a passage in a third of all documents
 sends one record a batch, not one a document. Texts are not shuffled, but for those that
-may have a hit (a bitmap of fixed size tells), which join their hits by id. The reply of each step is runs of places.
+may have a hit (a bitmap of fixed size tells), which join their hits by id. The replies are runs of
+places, packed the same way and dealt by document.
 
 Defined results: null text has no words. Ids name documents: rows with one id never
 make each other's words go. Rows with a null id stay whole and remove nothing.
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from selecta.llm.common import U64, byte_rows, by_bucket, hashed_words, partitions_for, stage, texts, window_hashes, with_maybe
+from selecta.llm.common import U64, byte_rows, by_bucket, hashed_words, mix, partitions_for, stage, texts, window_hashes, with_maybe
 
 WIDTH = 50
 #: Words that are sorted together; a longer text takes several groups, which overlap by a run.
@@ -148,57 +149,84 @@ def _probe(n: int, block: int):
     return run
 
 
-def _unpack(pdf: pd.DataFrame, kind) -> tuple:
-    """(hashes, id, print, place, flag) of all records of a bucket, and its settled runs."""
-    hashes, ids, prints, places, flags = [np.empty(0, kind)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, bool)]
-    runs = [np.empty((0, 4), np.int64)]
+def _records(pdf: pd.DataFrame, kind) -> tuple:
+    """Of a bucket: (hashes, places in the group with flag, row of each record), the rows' heads, and the settled runs."""
+    hashes, ats, rows, heads, runs = [np.empty(0, kind)], [np.empty(0, np.uint32)], [np.empty(0, np.uint32)], [], [np.empty((0, 4), np.int64)]
     for head, h, at, local in zip(pdf["head"], pdf["hash"], pdf["at"], pdf["runs"]):
         if local:
             runs.append(np.frombuffer(local, np.int64).reshape(-1, 4))
             continue
+        hashes.append(np.frombuffer(h, kind))
+        ats.append(np.frombuffer(at, np.uint32))
+        rows.append(np.full(len(hashes[-1]), len(heads), np.uint32))
+        heads.append(head)
+    return np.concatenate(hashes), np.concatenate(ats), np.concatenate(rows), heads, np.concatenate(runs)
+
+
+def _owners(some: np.ndarray, ats: np.ndarray, rows: np.ndarray, heads: list) -> np.ndarray:
+    """(id, print, place, place) of the records ``some``."""
+    out = np.empty((len(some), 4), np.int64)
+    order = np.argsort(rows[some], kind="stable")
+    ends = np.searchsorted(rows[some][order], np.arange(len(heads) + 1))
+    for r, head in enumerate(heads):
+        i = order[ends[r]:ends[r + 1]]
+        if not len(i):
+            continue
         head = np.frombuffer(head, np.int64).reshape(-1, 4)
-        at = np.frombuffer(at, np.uint32)
-        place = (at >> 1).astype(np.int64)
+        place = (ats[some[i]] >> 1).astype(np.int64)
         piece = np.searchsorted(head[:, 2], place, "right") - 1
-        hashes.append(np.frombuffer(h, kind))
-        ids.append(head[piece, 0])
-        prints.append(head[piece, 1])
-        places.append(place - head[piece, 2] + head[piece, 3])
-        flags.append((at & 1).astype(bool))
-    return (*map(np.concatenate, (hashes, ids, prints, places, flags)), np.concatenate(runs))
-
-
-def _by_document(ids, prints, lo, hi) -> pd.DataFrame:
-    """Runs of places per document: adjoining and overlapping ones become one."""
-    if not len(ids):
-        return pd.DataFrame({"doc_id": np.empty(0, np.int64), "print": np.empty(0, np.int64), "runs": pd.Series([], dtype=object)})
-    order = np.lexsort((lo, prints, ids))
-    ids, prints, lo, hi = ids[order], prints[order], lo[order], hi[order]
-    new = np.concatenate([[True], (ids[1:] != ids[:-1]) | (prints[1:] != prints[:-1])])
-    doc = np.cumsum(new) - 1
+        out[i, :2] = head[piece, :2]
+        out[i, 2] = out[i, 3] = place - head[piece, 2] + head[piece, 3]
+    return out
+
+
+def _joined(runs: np.ndarray) -> np.ndarray:
+    """Rows (id, print, lo, hi) in order, adjoining and overlapping runs of a text made one."""
+    if not len(runs):
+        return runs
+    runs = runs[np.lexsort((runs[:, 2], runs[:, 1], runs[:, 0]))]
+    ids, prints, lo, hi = runs.T
+    doc = np.cumsum(np.concatenate([[False], (ids[1:] != ids[:-1]) | (prints[1:] != prints[:-1])]))
     wide = int(max(hi.max(), 0)) + 3
     reach = np.maximum.accumulate(hi + doc * wide)               # documents lie apart, so reaches never cross
     cut = np.flatnonzero(np.concatenate([[True], (lo + doc * wide)[1:] > reach[:-1] + 1]))
-    lo, hi, doc = lo[cut], (reach - doc * wide)[np.concatenate([cut[1:], [len(reach)]]) - 1], doc[cut]
-    both = np.stack([lo, hi], axis=1)
-    ends = np.flatnonzero(np.concatenate([doc[1:] != doc[:-1], [True]])) + 1
-    starts = np.concatenate([[0], ends[:-1]])
-    at = np.flatnonzero(new)
-    return pd.DataFrame({"doc_id": ids[at], "print": prints[at], "runs": [both[a:z].ravel().tolist() for a, z in zip(starts, ends)]})
+    ends = np.concatenate([cut[1:], [len(reach)]]) - 1
+    return np.stack([ids[cut], prints[cut], lo[cut], (reach - doc * wide)[ends]], axis=1)
+
+
+def _replies(runs: np.ndarray, n: int) -> pd.DataFrame:
+    """Runs dealt to buckets by their document, packed: one row for each bucket."""
+    runs = _joined(runs)
+    packed = [(b, runs[i].tobytes()) for b, i in by_bucket((mix(runs[:, 0].astype(U64)) % U64(n)).astype(np.int64), n)]
+    return pd.DataFrame({"bucket": np.array([b for b, _ in packed], np.int32), "runs": pd.Series([r for _, r in packed], dtype=object)})
 
 
-def _hits(pdf: pd.DataFrame) -> pd.DataFrame:
+def _by_document(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One row for each document that has runs."""
+    runs = _joined(np.concatenate([np.frombuffer(r, np.int64).reshape(-1, 4) for r in pdf["runs"]]))
+    new = np.flatnonzero(np.concatenate([[True], (runs[1:, :2] != runs[:-1, :2]).any(axis=1)]))
+    ends = np.concatenate([new[1:], [len(runs)]])
+    return pd.DataFrame({"doc_id": runs[new, 0], "print": runs[new, 1], "runs": [runs[a:z, 2:].ravel().tolist() for a, z in zip(new, ends)]})
+
+
+def _hits(n: int):
     """Runs whose hash is a block's and that lie in several documents."""
-    hashes, ids, prints, places, flags, runs = _unpack(pdf, np.uint32)
-    some = np.empty(0, np.int64)
-    if len(hashes):
-        order = np.argsort(hashes, kind="stable")
-        group, first, last = _same_groups(hashes[order])
-        low, high = np.minimum.reduceat(ids[order], first), np.maximum.reduceat(ids[order], first)
-        good = np.logical_or.reduceat(flags[order], first) & (low != high)
-        some = order[good[group]]
-    return _by_document(np.concatenate([ids[some], runs[:, 0]]), np.concatenate([prints[some], runs[:, 1]]),
-                        np.concatenate([places[some], runs[:, 2]]), np.concatenate([places[some], runs[:, 3]]))
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        hashes, ats, rows, heads, runs = _records(pdf, np.uint32)
+        found = np.empty((0, 4), np.int64)
+        if len(hashes):
+            order = np.argsort(hashes, kind="stable")
+            group, first, last = _same_groups(hashes[order])
+            good = (last > first) & np.logical_or.reduceat((ats[order] & 1).astype(bool), first)
+            some = order[good[group]]
+            del order, group
+            if len(some):
+                found = _owners(some, ats, rows, heads)
+                _, first, _ = _same_groups(hashes[some])
+                low, high = np.minimum.reduceat(found[:, 0], first), np.maximum.reduceat(found[:, 0], first)
+                found = found[np.repeat(low != high, np.diff(np.concatenate([first, [len(some)]])))]
+        return _replies(np.concatenate([found, runs]), n)
+    return run
 
 
 def _compare(n: int, width: int, block: int):
@@ -241,23 +269,30 @@ def _compare(n: int, width: int, block: int):
 _PAIR = np.dtype([("one", "<u8"), ("two", "<u8")])
 
 
-def _repeats(pdf: pd.DataFrame) -> pd.DataFrame:
+def _repeats(n: int):
     """Windows that a smaller id holds too."""
-    hashes, ids, prints, places, _, runs = _unpack(pdf, _PAIR)
-    some = np.empty(0, np.int64)
-    if len(hashes):
-        order = np.lexsort((ids, hashes["two"], hashes["one"]))
-        h = hashes[order]
-        new = np.concatenate([[True], (h["one"][1:] != h["one"][:-1]) | (h["two"][1:] != h["two"][:-1])])
-        smallest = ids[order][np.flatnonzero(new)][np.cumsum(new) - 1]
-        some = order[ids[order] > smallest]
-    return _by_document(np.concatenate([ids[some], runs[:, 0]]), np.concatenate([prints[some], runs[:, 1]]),
-                        np.concatenate([places[some], runs[:, 2]]), np.concatenate([places[some], runs[:, 3]]))
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        hashes, ats, rows, heads, runs = _records(pdf, _PAIR)
+        found = np.empty((0, 4), np.int64)
+        if len(hashes):
+            order = np.lexsort((hashes["two"], hashes["one"]))
+            h = hashes[order]
+            new = np.concatenate([[True], (h["one"][1:] != h["one"][:-1]) | (h["two"][1:] != h["two"][:-1])])
+            first = np.flatnonzero(new)
+            size = np.diff(np.concatenate([first, [len(h)]]))
+            some, size = order[np.repeat(size > 1, size)], size[size > 1]
+            if len(some):
+                found = _owners(some, ats, rows, heads)
+                first = np.cumsum(size) - size
+                found = found[found[:, 0] > np.repeat(np.minimum.reduceat(found[:, 0], first), size)]
+        return _replies(np.concatenate([found, runs]), n)
+    return run
 
 
-def _gathered(runs: DataFrame) -> DataFrame:
-    """All runs of a document in one row: bounded by its own words."""
-    return runs.groupBy("doc_id", "print").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+def _settled(dealt: DataFrame, settle, name: str) -> DataFrame:
+    """(doc_id, print, runs) from records dealt by hash: settled per bucket, then dealt by document."""
+    replies = dealt.groupBy("bucket").applyInPandas(settle, "bucket int, runs binary")
+    return stage(replies.groupBy("bucket").applyInPandas(_by_document, _RUNS), name)
 
 
 def repeated_windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -266,10 +301,10 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     n, block = partitions_for(docs.sparkSession), block_of(width)
     known = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     dealt = known.mapInArrow(_probe(n, block), _DEALT)
-    hits = stage(_gathered(dealt.groupBy("bucket").applyInPandas(_hits, _RUNS)), "hits")
+    hits = _settled(dealt, _hits(n), "hits")
     near = with_maybe(known, "doc_id", hits.select("doc_id"), "_maybe").filter("_maybe").drop("_maybe").join(hits, ["doc_id", "print"])
     windows = near.mapInArrow(_compare(n, width, block), _DEALT)
-    return stage(_gathered(windows.groupBy("bucket").applyInPandas(_repeats, _RUNS)), "repeats")
+    return _settled(windows, _repeats(n), "repeats")
 
 
 def remove(text: bytes | None, runs: list | None, width: int) -> tuple[list, list]:
