@@ -7,7 +7,9 @@ up per text; a text is read whole, whatever its length.
 
 from __future__ import annotations
 
+import itertools
 import zlib
+from collections import Counter
 from collections.abc import Callable, Iterable
 
 import numpy as np
@@ -22,6 +24,20 @@ def bucket(feature: str, dims: int) -> int:
     return zlib.crc32(feature.encode("utf-8")) % dims
 
 
+class Buckets(dict):
+    """feature -> bucket; a bounded cache in front of :func:`bucket`."""
+
+    def __init__(self, dims: int):
+        super().__init__()
+        self.dims = dims
+
+    def __missing__(self, feature: str) -> int:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        value = self[feature] = bucket(feature, self.dims)
+        return value
+
+
 class WordScores(dict):
     """word -> row of ``table``, which holds the sums of the weights of the word's features."""
 
@@ -30,19 +46,28 @@ class WordScores(dict):
         self.features, self.weights = features, weights
         self.table = np.zeros((4096, weights.shape[1]))
 
-    def __missing__(self, word: bytes) -> int:
-        row = self[word] = len(self)
-        if row >= len(self.table):
+    def _learn(self, words: list) -> None:
+        """Score new words, all at once."""
+        found = [list(self.features(w)) for w in words]
+        sizes = np.array([len(f) for f in found])
+        flat = np.fromiter(itertools.chain.from_iterable(found), np.int64, int(sizes.sum()))
+        total = np.concatenate([np.zeros((1, self.weights.shape[1])), np.cumsum(self.weights[flat], axis=0)])
+        ends = np.cumsum(sizes)
+        first = len(self)
+        while first + len(words) > len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        found = list(self.features(word))
-        self.table[row] = self.weights[found].sum(axis=0) if found else 0.0
-        return row
+        self.table[first:first + len(words)] = total[ends] - total[ends - sizes]
+        self.update(zip(words, range(first, first + len(words))))
 
     def rows(self, words: list) -> np.ndarray:
-        """Rows of a text's words; the cache starts afresh between texts only."""
+        """Rows of some words; the cache starts afresh between calls only."""
         if len(self) >= CACHE_WORDS:
             self.clear()
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        got = list(map(self.get, words))
+        if None in got:
+            self._learn(list({w: None for w, r in zip(words, got) if r is None}))
+            got = list(map(self.get, words))
+        return np.array(got, np.int64)
 
     def total(self, words: list) -> np.ndarray:
         """Sum of the words' scores."""
@@ -55,7 +80,6 @@ class WordScores(dict):
 
 def counted(words: list, features: Callable[[bytes], Iterable[int]], extra: Iterable = ()) -> tuple[list, list]:
     """(feature, sum) pairs of a text for training, and ``extra`` (feature, value) pairs."""
-    from collections import Counter
     total: Counter = Counter()
     for word, n in Counter(words).items():
         for f in features(word):
@@ -67,7 +91,7 @@ def counted(words: list, features: Callable[[bytes], Iterable[int]], extra: Iter
 
 def sample_rows(docs: DataFrame, wanted: DataFrame, label_cols: list, features: Callable[[bytes | None], tuple],
                 id_col: str = "doc_id", text_col: str = "text") -> list:
-    """[(labels..., features, values)] of the documents named in ``wanted``.
+    """[{labels..., f: features, v: values}] of the documents named in ``wanted``.
 
     ``wanted`` (doc_id and label columns) is a sample whose size the caller has
     bounded; it is broadcast, and only its documents reach Python.
@@ -78,12 +102,13 @@ def sample_rows(docs: DataFrame, wanted: DataFrame, label_cols: list, features:
         for b in batches:
             got = [features(t) for t in byte_rows(b.column("text"))]
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(c) for c in label_cols), pa.array([f for f, _ in got], pa.list_(pa.int32())),
-                 pa.array([v for _, v in got], pa.list_(pa.float64()))], names=[*label_cols, "f", "v"])
+                [*(b.column(c) for c in label_cols), pa.array([np.array(f, np.int32).tobytes() for f, _ in got], pa.binary()),
+                 pa.array([np.array(v, np.float32).tobytes() for _, v in got], pa.binary())], names=[*label_cols, "f", "v"])
 
     kinds = dict(held.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in label_cols) + ", f array<int>, v array<double>"
-    return sorted(held.mapInArrow(run, schema).collect(), key=lambda r: tuple(str(r[c]) for c in label_cols) + (tuple(r["f"]),))
+    schema = ", ".join(f"{c} {kinds[c]}" for c in label_cols) + ", f binary, v binary"
+    got = sorted(held.mapInArrow(run, schema).collect(), key=lambda r: (*(str(r[c]) for c in label_cols), bytes(r["f"]), bytes(r["v"])))
+    return [{**{c: r[c] for c in label_cols}, "f": np.frombuffer(r["f"], np.int32), "v": np.frombuffer(r["v"], np.float32)} for r in got]
 
 
 def dense(rows: list, dims: int) -> np.ndarray:
@@ -95,14 +120,16 @@ def dense(rows: list, dims: int) -> np.ndarray:
 
 
 def adam(gradient: Callable[[np.ndarray], np.ndarray], w: np.ndarray, steps: int, rate: float) -> np.ndarray:
-    """Full-batch Adam from ``w``."""
+    """Full-batch Adam from ``w``, in single precision like the features."""
+    w = w.astype(np.float32)
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, steps + 1):
-        g = gradient(w)
+        g = gradient(w).astype(np.float32)
         m = 0.9 * m + 0.1 * g
         v = 0.99 * v + 0.01 * g * g
         w = w - rate * (1 - t / (steps + 1)) * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.99 ** t)) + 1e-8)
-    return w
+        w = w.astype(np.float32)
+    return w.astype(float)
 
 
 def labelled_sample(labels: DataFrame, id_col: str, cols: list, bound: int) -> DataFrame:

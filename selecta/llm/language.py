@@ -5,7 +5,7 @@ within the family, one linear support vector machine for each pair of
 languages votes, and the most votes win (ties: larger summed margin, then name).
 
 Features are hashed: each word, lower-cased, gives itself and its character
-1- to 3-grams with its borders; a text's features are means over its words.
+1- and 3-grams with its borders; a text's features are means over its words.
 
 Plan: a bounded sample of training rows (``quota`` a language in expectation, by hash) trains on the
 driver; one matrix of weights, with a column for each family and pair, is broadcast; all
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from selecta.llm.common import byte_rows, texts
-from selecta.llm.hashed_text import WordScores, adam, bucket, counted, dense, sample_rows
+from selecta.llm.hashed_text import Buckets, WordScores, adam, bucket, counted, dense, sample_rows
 
 DIMS = 4_096
 QUOTA = 700
@@ -44,9 +44,13 @@ def family_of(lang: str) -> str:
     return next((f for f, members in FAMILIES.items() if lang in members), lang)
 
 
+_BUCKETS = Buckets(DIMS)
+
+
 def word_features(word: bytes) -> list:
-    w = "\x02" + word.decode("utf-8", "replace").lower()[:64] + "\x03"
-    return [bucket(w, DIMS)] + [bucket(w[i:i + n], DIMS) for n in (1, 2, 3) for i in range(len(w) - n + 1)]
+    w = "\x02" + word.decode("utf-8", "replace").lower() + "\x03"
+    grams = [w[i:i + 3] for i in range(len(w) - 2)]
+    return [bucket(w, DIMS), *map(_BUCKETS.__getitem__, w), *map(_BUCKETS.__getitem__, grams)]
 
 
 def text_features(text: bytes | None) -> tuple:
@@ -87,13 +91,13 @@ class Model:
 
 
 def _softmax_fit(x, y, n, steps=200, l2=1e-3):
-    hot = np.eye(n)[y]
+    hot = np.eye(n, dtype=np.float32)[y]
 
     def gradient(u):
         w = u.reshape(-1, n)
         s = x @ w[:-1] + w[-1]
         e = np.exp(s - s.max(1, keepdims=True))
-        d = (e / e.sum(1, keepdims=True) - hot) / len(x)
+        d = ((e / e.sum(1, keepdims=True) - hot) / len(x)).astype(np.float32)
         g = np.concatenate([x.T @ d, d.sum(0, keepdims=True)])
         g[:-1] += l2 * w[:-1]
         return g.ravel()
@@ -105,7 +109,7 @@ def _svm_fit(x, y, steps=200, l2=1e-3):
     """Linear support vector machine with squared hinge loss; y is +1 or -1."""
     def gradient(u):
         short = np.maximum(0, 1 - y * (x @ u[:-1] + u[-1]))
-        d = -2 * y * short / len(x)
+        d = (-2 * y * short / len(x)).astype(np.float32)
         return np.concatenate([x.T @ d + l2 * u[:-1], [d.sum()]])
 
     return adam(gradient, np.zeros(x.shape[1] + 1), steps, 0.05)
@@ -124,12 +128,12 @@ def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_co
     unit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     rate = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, quota / r["count"])))])
     wanted = held.filter(unit < F.element_at(rate, F.col("lang"))).select("doc_id", "lang").limit(4 * 4 * QUOTA).dropDuplicates(["doc_id"])
-    rows = [r for r in sample_rows(held.drop("lang"), wanted, ["lang"], text_features) if r["f"]]
+    rows = [r for r in sample_rows(held.drop("lang"), wanted, ["lang"], text_features) if len(r["f"])]
     if not rows:
         return None
     x = dense(rows, DIMS)
-    mean, spread = x.mean(0), x.std(0) + 0.02
-    x = (x - mean) / spread / 8
+    mean, spread = x.mean(0), x.std(0) + np.float32(0.02)
+    x = (x - mean) / spread / np.float32(8)
     lang = np.array([r["lang"] for r in rows])
     members: dict = {}
     for name in sorted(set(lang.tolist())):
