@@ -16,8 +16,10 @@ Documents that agree in a segment are candidates; they are verified on the whole
 Groups of candidates can be large, so their pairs are not listed. Equal sets
 count as one from the start. In each round every group names one pivot (the node with most
 links so far) and all others are verified against it; then links are joined to components. When
-a round finds nothing new, what is still in one group but in several components is verified pair by pair,
-so no link between different texts is lost.
+a round finds nothing new, members of one group but of several components remain. Their whole
+parity sketches (two to four bits a shingle) are compared in memory, tile by tile; only pairs whose Hamming
+distance stays within the difference that a link allows leave the tile and are verified, so no link
+between different texts is lost.
 
 Plan: sketch records take 8 bytes, packed into one binary row for each batch and
 bucket (bucket by hash, one for each shuffle partition); equal sets of a batch send one record. Texts are never shuffled: the
@@ -246,14 +248,103 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _unequal(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
-    """Group rows (grp, rep, size) with ``comp``, without groups that lie in one component."""
+    """Group rows (grp, rep, size) with ``comp``, without groups that are settled:
+    those in one component, and pairs, which the first round has verified."""
     if comps is None:
         return rows.withColumn("comp", F.col("rep"))
     rows = rows.join(comps.select(F.col("node").alias("rep"), "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    mixed = rows.groupBy("grp").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("grp")
+    mixed = (rows.groupBy("grp").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n"))
+             .filter("lo < hi AND n > 2").select("grp"))
     return rows.join(mixed, "grp")
 
 
+#: Members of a group that are compared with one another at once.
+TILE = 1_024
+
+
+def sketch(shingles: bytes) -> bytes:
+    """Parity sketch of a set: every shingle flips one of 2 to 4 bits a shingle (a power of two)."""
+    x = np.frombuffer(shingles, U64)
+    bits = max(64, 1 << (2 * len(x) - 1).bit_length())
+    at = (mix(x ^ U64(_SALT[0])) & U64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def _folded(sketches: np.ndarray, words: int) -> np.ndarray:
+    """Sketches of (rows, more words) as they would be with ``words`` words."""
+    while sketches.shape[1] > words:
+        half = sketches.shape[1] // 2
+        sketches = sketches[:, :half] ^ sketches[:, half:]
+    return sketches
+
+
+def near_pairs(a: dict, b: dict, same: bool, num: int, den: int) -> np.ndarray:
+    """(x, y) of members of two tiles that differ in component and that sizes and
+    sketches do not rule out. A tile has arrays rep, size, comp and a list sketch."""
+    out = [np.empty((0, 2), np.int64)]
+    words = [np.array([len(x) // 8 for x in t["sketch"]]) for t in (a, b)]
+    for wa in np.unique(words[0]):
+        ia = np.flatnonzero(words[0] == wa)
+        sa = np.frombuffer(b"".join(a["sketch"][i] for i in ia), U64).reshape(len(ia), wa)
+        for wb in np.unique(words[1]):
+            ib = np.flatnonzero(words[1] == wb)
+            sb = np.frombuffer(b"".join(b["sketch"][i] for i in ib), U64).reshape(len(ib), wb)
+            x, y = _folded(sa, min(wa, wb)), _folded(sb, min(wa, wb))
+            nb, cb, rb = b["size"][ib], b["comp"][ib], b["rep"][ib]
+            for j, i in enumerate(ia):
+                n = a["size"][i]
+                ok = (cb != a["comp"][i]) & (np.minimum(nb, n) * den >= np.maximum(nb, n) * num)
+                if same:
+                    ok &= rb > a["rep"][i]
+                k = np.flatnonzero(ok)
+                if len(k):
+                    apart = np.bitwise_count(y[k] ^ x[j]).sum(axis=1, dtype=np.int64)
+                    k = k[apart <= (den - num) * (nb[k] + n) // (den + num)]
+                    out.append(np.stack([np.full(len(k), a["rep"][i]), rb[k]], axis=1))
+    found = np.concatenate(out)
+    return np.unique(np.sort(found, axis=1), axis=0)
+
+
+def _near_rows(num: int, den: int):
+    """Pairs (a, b) of each tile pair (grp, lo, hi) of a bucket."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["grp", "lo", "hi"], kind="stable")
+        keys = pdf[["grp", "lo", "hi"]].to_numpy()
+        cols = {c: pdf[c].to_numpy(np.int64) for c in ("rep", "size", "comp", "tile")}
+        sketches = pdf["sketch"].tolist()
+        first = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)]))
+        out = [np.empty((0, 2), np.int64)]
+        for x, y in zip(first, np.concatenate([first[1:], [len(keys)]])):
+            lo, hi = keys[x, 1], keys[x, 2]
+
+            def tile(t, x=x, y=y):
+                i = x + np.flatnonzero(cols["tile"][x:y] == t)
+                return {c: cols[c][i] for c in ("rep", "size", "comp")} | {"sketch": [sketches[j] for j in i]}
+
+            a = tile(lo)
+            out.append(near_pairs(a, a if lo == hi else tile(hi), lo == hi, num, den))
+        pairs = np.unique(np.concatenate(out), axis=0)
+        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+    return run
+
+
+def remaining_pairs(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Distinct pairs (a, b) of group rows (grp, rep, size, comp) that only the whole sets can decide."""
+    def sketches(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("rep"), pa.array([sketch(x) for x in b.column("set").to_pylist()], pa.binary())],
+                                             names=["rep", "sketch"])
+
+    n = partitions_for(rows.sparkSession)
+    held = sets.mapInArrow(sketches, "rep long, sketch binary")
+    count = rows.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
+    tiled = rows.join(count, "grp").withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
+    tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    tiled = tiled.select("grp", "rep", "size", "comp", "tile", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"))
+    tiled = tiled.withColumn("bucket", F.pmod(F.xxhash64("grp", "lo", "hi"), F.lit(4 * n)).cast("int"))
+    return (tiled.join(held, "rep").groupBy("bucket").applyInPandas(_near_rows(num, den), "a long, b long").distinct())
+
+
 def link_components(groups: DataFrame, sets: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """(components, links) of the representatives in candidate groups (grp, rep, size)."""
     spark = groups.sparkSession
@@ -272,22 +363,20 @@ def link_components(groups: DataFrame, sets: DataFrame, num: int, den: int) -> t
             "grp", F.col("p.rep").alias("pivot"), F.col("p.size").alias("psize"), F.col("p.comp").alias("pcomp")), "pivots")
         pairs = (rows.join(pivots, "grp").filter((F.col("comp") != F.col("pcomp")) & fits)
                  .select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct())
-        pairs = stage(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        found = stage(_verify(pairs, sets, num, den), "verified")
+        found = stage(_verify(pairs.join(tested, ["a", "b"], "left_anti"), sets, num, den), "verified")
+        tested = stage(tested.unionByName(found.select("a", "b")), "tested")
         new = found.filter("linked").select("a", "b")
         last = new.isEmpty()
         if last:
-            # no pivot links anything more: the rest, pair by pair
-            other = rows.select("grp", F.col("rep").alias("pivot"), F.col("size").alias("psize"), F.col("comp").alias("pcomp"))
-            pairs = (rows.join(other, "grp").filter((F.col("rep") < F.col("pivot")) & (F.col("comp") != F.col("pcomp")) & fits)
-                     .select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct())
-            pairs = stage(pairs.join(stage(tested.unionByName(found.select("a", "b")), "tested"), ["a", "b"], "left_anti"), "pairs")
+            # no pivot links anything more: the rest by their sketches
+            pairs = stage(remaining_pairs(rows, sets, num, den).join(tested, ["a", "b"], "left_anti"), "pairs")
             new = stage(_verify(pairs, sets, num, den), "verified").filter("linked").select("a", "b")
+            if new.isEmpty():
+                break
         edges = stage(edges.unionByName(new), "links")
         comps = stage(components(edges), "components")
         if last:
             break
-        tested = stage(tested.unionByName(found.select("a", "b")), "tested")
         degree = stage(edges.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("degree")), "degree")
     return (comps if comps is not None else spark.createDataFrame([], "node long, comp long")), edges
 
