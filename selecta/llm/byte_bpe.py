@@ -25,6 +25,7 @@ rows give one row each.
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 import itertools
 
@@ -120,18 +121,14 @@ def _encoder(shared):
     return _ENCODERS[key][:2]
 
 
-def encode_text(text: str, ids: PieceIds, pattern) -> list:
-    out: list = []
-    for piece in map(ids.__getitem__, pattern.findall(text)):
-        out += piece
-    return out
+def encode_text(text: str, ids: PieceIds, pattern) -> np.ndarray:
+    return np.fromiter(itertools.chain.from_iterable(map(ids.__getitem__, pattern.findall(text))), np.int32)
 
 
 def _id_arrays(rows: list) -> pa.Array:
-    """Lists of ids as one Arrow list column."""
+    """Arrays of ids as one Arrow list column."""
     offsets = np.cumsum([0] + [len(r) for r in rows])
-    flat = np.fromiter(itertools.chain.from_iterable(rows), np.int32, offsets[-1])
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int32), *rows])))
 
 
 def _encode_batches(shared, keys: list):
@@ -230,8 +227,8 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
 _TABLES: dict = {}
 
 
-def token_bytes(shared) -> pa.Array:
-    """Bytes of every id, as an Arrow array indexed by id."""
+def _tables(shared) -> tuple[pa.Array, pa.Array]:
+    """Arrow arrays by id: its bytes, and its decimal digits after a comma."""
     key = id(shared)
     if key not in _TABLES:
         _TABLES.clear()
@@ -239,18 +236,30 @@ def token_bytes(shared) -> pa.Array:
         table = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             table[rank] = token
-        _TABLES[key] = (pa.array(table, pa.binary()), shared)
-    return _TABLES[key][0]
+        _TABLES[key] = (pa.array(table, pa.binary()), pa.array([b",%d" % i for i in range(len(table))], pa.binary()), shared)
+    return _TABLES[key][:2]
 
 
-def decoded_bytes(ids: pa.ListArray, table: pa.Array) -> tuple[memoryview, np.ndarray]:
-    """All bytes of a list column of ids, and the offsets between its rows."""
+def joined_rows(ids: pa.ListArray, table: pa.Array) -> list:
+    """For each row of a list column of ids, the table's entries of its ids put together."""
     flat = ids.flatten()
-    taken = pc.take(table, flat)
-    at = np.frombuffer(taken.buffers()[1], np.int32)[taken.offset:taken.offset + len(flat) + 1] if len(flat) else np.zeros(1, np.int32)
     counts = np.cumsum([0] + pc.fill_null(pc.list_value_length(ids), 0).to_pylist())
-    data = memoryview(taken.buffers()[2]) if len(flat) and taken.buffers()[2] else memoryview(b"")
-    return data, at[counts]
+    if not len(flat):
+        return [b""] * len(ids)
+    out: list = []
+    first = 0
+    while first < len(ids):                          # 32-bit offsets: some rows at a time
+        last = first + 1
+        while last < len(ids) and counts[last + 1] - counts[first] < 1 << 24:
+            last += 1
+        taken = pc.take(table, flat.slice(counts[first], counts[last] - counts[first]))
+        n = len(taken)
+        at = np.frombuffer(taken.buffers()[1], np.int32)[taken.offset:taken.offset + n + 1] if n else np.zeros(1, np.int32)
+        data = memoryview(taken.buffers()[2]) if n and taken.buffers()[2] else memoryview(b"")
+        ends = at[counts[first:last + 1] - counts[first]]
+        out += [bytes(data[x:y]) for x, y in zip(ends[:-1], ends[1:])]
+        first = last
+    return out
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids") -> DataFrame:
@@ -260,10 +269,27 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids") ->
     schema = encoded.withColumn("data", F.lit(b"")).schema
 
     def run(batches):
-        table = token_bytes(shared)
+        table, _ = _tables(shared)
         for b in batches:
-            data, at = decoded_bytes(b.column(ids_col), table)
-            rows = pa.array([bytes(data[x:y]) for x, y in zip(at[:-1], at[1:])], pa.binary())
+            rows = pa.array(joined_rows(b.column(ids_col), table), pa.binary())
             yield pa.RecordBatch.from_arrays([*b.columns, rows], names=[*b.schema.names, "data"])
 
     return encoded.mapInArrow(run, schema)
+
+
+def digests(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of (doc_id, ids): SHA-256 of the
+    ids in decimal, comma-joined, and of the bytes that they decode to."""
+    shared = vocabulary.shared
+
+    def run(batches):
+        table, digits = _tables(shared)
+        for b in batches:
+            ids = b.column("ids")
+            sizes = pc.fill_null(pc.list_value_length(ids), 0).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), sizes, pa.array([hashlib.sha256(x[1:]).hexdigest() for x in joined_rows(ids, digits)], pa.string()),
+                 pa.array([hashlib.sha256(x).hexdigest() for x in joined_rows(ids, table)], pa.string())],
+                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return encoded.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -24,10 +24,7 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
 
 def bpe_digests(docs, vocabulary, id_col="doc_id", text_col="text"):
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of encoded, then decoded texts."""
-    coded = byte_bpe.decode(byte_bpe.encode(docs, vocabulary, id_col, text_col), vocabulary)
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
-                        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
-                        F.sha2("data", 256).alias("decoded_sha256"))
+    return byte_bpe.digests(byte_bpe.encode(docs, vocabulary, id_col, text_col), vocabulary)
 
 
 @query("op8_byte_bpe")
