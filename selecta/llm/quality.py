@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from selecta.llm.common import bounded_batches, byte_rows, texts
 from selecta.llm.hashed_text import WordScores, adam, bucket, counted, dense, labelled_sample, sample_rows
 
-DIMS = 1 << 13
-SAMPLE = 5_000
+DIMS = 1 << 12
+SAMPLE = 4_000
 _UPPER, _LOWER, _DIGIT = re.compile(r"[^\W\d_a-zß-öø-ÿ]+"), re.compile(r"[^\W\d_A]+"), re.compile(r"\d+")
 
 
@@ -75,7 +75,7 @@ def fit_ordinal(x: np.ndarray, grades: np.ndarray, n_grades: int, steps: int = 2
     share = np.clip(cells.mean(0), 0.02, 0.98)
     start = -np.log(share / (1 - share))
     first = np.concatenate([start[:1], np.log(np.maximum(np.diff(start), 0.1))])
-    mean, spread = x.mean(0), x.std(0) + 1e-3
+    mean, spread = x.mean(0), x.std(0) + np.float32(1e-3)
     z = (x - mean) / spread
 
     def cuts(u):
@@ -91,7 +91,7 @@ def fit_ordinal(x: np.ndarray, grades: np.ndarray, n_grades: int, steps: int = 2
         d_score = (upper - lower) / p / len(z)                                       # of the negative log-likelihood
         d_t = np.array([(-(upper * (grades == j)) + lower * (grades == j + 1)) @ (1 / p) for j in range(k)]) / len(z)
         d_u = np.array([d_t[j:].sum() * (1 if j == 0 else np.exp(u[len(w) + j])) for j in range(k)])
-        return np.concatenate([z.T @ d_score + l2 * w * len(w) ** 0.5, d_u])
+        return np.concatenate([z.T @ d_score.astype(np.float32) + l2 * w * len(w) ** 0.5, d_u])
 
     u = adam(gradient, np.concatenate([np.zeros(x.shape[1]), first]), steps, 0.02)
     w = u[:-k] / spread
@@ -103,7 +103,7 @@ def fit(docs: DataFrame, ratings: DataFrame, grade, n_grades: int, id_col: str =
     """A model from at most ``sample`` rated rows; ``grade`` is a column expression of 0..n_grades-1."""
     wanted = labelled_sample(ratings, id_col, [grade.cast("int").alias("g")], sample)
     rows = sample_rows(docs, wanted, ["g"], text_features, id_col, text_col)
-    rows = [r for r in rows if 0 <= r["g"] < n_grades and r["f"]]
+    rows = [r for r in rows if 0 <= r["g"] < n_grades and len(r["f"])]
     if not rows:
         return Ordinal(np.zeros(DIMS), np.full(n_grades - 1, -9.0))
     return fit_ordinal(dense(rows, DIMS), np.array([r["g"] for r in rows]), n_grades)
