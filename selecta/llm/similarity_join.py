@@ -21,14 +21,14 @@ parity sketches (two to four bits a shingle) are compared in memory, tile by til
 distance stays within the difference that a link allows leave the tile and are verified, so no link
 between different texts is lost.
 
-Plan: sketch records take 8 bytes, packed into one binary row for each batch and
+Plan: sketch records take 6 bytes, packed into one binary row for each batch and
 bucket (bucket by hash, one for each shuffle partition); equal sets of a batch send one record. Texts are never shuffled: the
 sets of documents in a group are read again from the table, and only those are.
 
 Defined results: null and wordless texts have an empty set and link with
 nothing. A text with fewer than k words has its whole sequence as its one
-shingle. Ids name documents: repeated rows of one id have one component; if their texts differ, links are
-verified on the least of their sets. A row with a null id links with nothing and has component null.
+shingle. Ids name documents: repeated rows of one id have one component; if their texts differ, the
+document links with all that any of them links with. A row with a null id links with nothing and has component null.
 """
 
 from __future__ import annotations
@@ -165,7 +165,7 @@ def _sketch_rows(k: int, num: int, den: int, n: int):
             rows = []
             for bucket, i in by_bucket((key % U64(n)).astype(np.int64), n):
                 some, local = np.unique(whose[i], return_inverse=True)
-                rows.append((bucket, one[some].tobytes(), sizes[some].astype(np.int32).tobytes(), rest[i].tobytes(), local.astype(np.uint32).tobytes()))
+                rows.append((bucket, one[some].tobytes(), sizes[some].astype(np.int32).tobytes(), rest[i].tobytes(), local.astype(np.uint16).tobytes()))
             kinds = [pa.int32()] + [pa.binary()] * 4
             for i in range(0, len(rows), 256):
                 part = list(zip(*rows[i:i + 256]))
@@ -177,8 +177,8 @@ def _candidate_groups(num: int, den: int):
     """Groups (grp, node, size) of sets that agree in a segment, one for each distinct membership."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         keys = np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["key"]])
-        nodes = np.concatenate([np.frombuffer(x, np.int64)[np.frombuffer(a, np.uint32)] for x, a in zip(pdf["node"], pdf["at"])])
-        sizes = np.concatenate([np.frombuffer(x, np.int32)[np.frombuffer(a, np.uint32)] for x, a in zip(pdf["size"], pdf["at"])])
+        nodes = np.concatenate([np.frombuffer(x, np.int64)[np.frombuffer(a, np.uint16)] for x, a in zip(pdf["node"], pdf["at"])])
+        sizes = np.concatenate([np.frombuffer(x, np.int32)[np.frombuffer(a, np.uint16)] for x, a in zip(pdf["size"], pdf["at"])])
         order = np.argsort(keys, kind="stable")
         k = keys[order]
         same = np.zeros(len(k), bool)
@@ -223,6 +223,9 @@ def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
             ok = [links(x, y, num, den) for x, y in zip(b.column("sa").to_pylist(), b.column("sb").to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(ok, pa.bool_())], names=["a", "b", "linked"])
 
+    pairs = stage(pairs, "pairs")
+    named = pairs.select(F.explode(F.array("a", "b")).alias("rep"))
+    sets = with_maybe(sets, "rep", named, "_maybe").filter("_maybe")      # only their sets are shuffled
     full = (pairs.join(sets.select(F.col("rep").alias("b"), F.col("set").alias("sb")), "b")
             .join(sets.select(F.col("rep").alias("a"), F.col("set").alias("sa")), "a"))
     return full.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, linked boolean")
@@ -369,7 +372,7 @@ def link_components(groups: DataFrame, sets: DataFrame, num: int, den: int) -> t
         last = new.isEmpty()
         if last:
             # no pivot links anything more: the rest by their sketches
-            pairs = stage(remaining_pairs(rows, sets, num, den).join(tested, ["a", "b"], "left_anti"), "pairs")
+            pairs = remaining_pairs(rows, sets, num, den).join(tested, ["a", "b"], "left_anti")
             new = stage(_verify(pairs, sets, num, den), "verified").filter("linked").select("a", "b")
             if new.isEmpty():
                 break
@@ -405,7 +408,7 @@ def similarity_classes(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int
                 [b.column("doc_id"), pa.array([values[a:z].tobytes() for a, z in zip(offsets[:-1], offsets[1:])], pa.binary())], names=["rep", "set"])
 
     again = with_maybe(known, "doc_id", members, "_maybe").filter("_maybe").select("doc_id", "text")
-    wanted = stage(again.mapInArrow(set_bytes, "rep long, set binary").groupBy("rep").agg(F.min("set").alias("set")), "shingles")
+    wanted = stage(again.mapInArrow(set_bytes, "rep long, set binary"), "shingles")
     comps, _ = link_components(groups, wanted, num, den)
     classes = classes.join(comps, classes["rep"] == comps["node"], "left").select("n", "one", "two", F.coalesce("comp", "rep").alias("comp"))
     named = sets.join(stage(classes, "named"), ["n", "one", "two"], "left").select("doc_id", F.col("n").alias("n_shingles"), "comp")
