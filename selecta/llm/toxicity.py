@@ -29,8 +29,7 @@ from selecta.llm.decontaminate import words
 from selecta.llm.hashed_text import WordScores, adam, bucket, counted, labelled_sample, sample_rows
 
 DIMS = 1 << 16
-SAMPLE = 5_000
-KEPT = 256
+SAMPLE = 6_000
 FOLDS = 5
 
 
@@ -52,25 +51,50 @@ def _logit(p):
     return np.log(p / (1 - p))
 
 
-def _fit(x: np.ndarray, y: np.ndarray, steps: int = 120, l2: float = 1e-3) -> np.ndarray:
+class Features:
+    """Sparse features of the sampled rows, with dense columns after them (earlier log-odds, ones)."""
+
+    def __init__(self, row: np.ndarray, col: np.ndarray, value: np.ndarray, width: int, more: np.ndarray):
+        self.row, self.col, self.value, self.width, self.more = row, col, value, width, more
+
+    def __len__(self):
+        return len(self.more)
+
+    def __matmul__(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.value * w[self.col], len(self)) + self.more @ w[self.width:]
+
+    def back(self, r: np.ndarray) -> np.ndarray:
+        """The transposed product."""
+        return np.concatenate([np.bincount(self.col, self.value * r[self.row], self.width), r @ self.more])
+
+    def of(self, rows: np.ndarray) -> "Features":
+        """The rows of a mask."""
+        held = rows[self.row]
+        return Features((np.cumsum(rows) - 1)[self.row[held]], self.col[held], self.value[held], self.width, self.more[rows])
+
+    def beside(self, columns: np.ndarray) -> "Features":
+        return Features(self.row, self.col, self.value, self.width, np.concatenate([self.more, columns], axis=1))
+
+
+def _fit(x: Features, y: np.ndarray, steps: int = 150, l2: float = 1e-3) -> np.ndarray:
     """Logistic regression; the last weight is the intercept."""
-    x = np.concatenate([x, np.ones((len(x), 1), np.float32)], axis=1)
+    x = x.beside(np.ones((len(x), 1)))
     prior = float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
-    w = np.zeros(x.shape[1])
+    w = np.zeros(x.width + x.more.shape[1])
     w[-1] = np.log(prior / (1 - prior))
     if y.min() == y.max():
         return w
     ridge = np.full(len(w), l2)
     ridge[-1] = 0
-    return adam(lambda u: x.T @ (_sigmoid(x @ u) - y).astype(np.float32) / len(y) + ridge * u, w, steps, 0.2)
+    return adam(lambda u: x.back(_sigmoid(x @ u) - y) / len(y) + ridge * u, w, steps, 0.2)
 
 
-def _apply(w: np.ndarray, x: np.ndarray) -> np.ndarray:
+def _apply(w: np.ndarray, x: Features) -> np.ndarray:
     return _sigmoid(x @ w[:-1] + w[-1])
 
 
-def speaking_features(rows: list, y: np.ndarray, kept: int = KEPT) -> np.ndarray:
-    """Features that occur clearly more often in positive texts, strongest first."""
+def speaking_features(rows: list, y: np.ndarray) -> np.ndarray:
+    """All features that occur clearly more often in positive texts, strongest first."""
     pos, neg = np.zeros(DIMS), np.zeros(DIMS)
     for r, positive in zip(rows, y):
         (pos if positive else neg)[r["f"]] += 1
@@ -79,7 +103,7 @@ def speaking_features(rows: list, y: np.ndarray, kept: int = KEPT) -> np.ndarray
     odds = np.log(a / b)
     z = odds / np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
     good = np.flatnonzero((odds > 1.5) & (z > 2.5) & (pos >= 4))
-    return good[np.argsort(-z[good], kind="stable")][:kept]
+    return good[np.argsort(-z[good], kind="stable")]
 
 
 class Chain:
@@ -99,26 +123,25 @@ def fit_chain(rows: list, names: list, targets: np.ndarray, kept: np.ndarray, fo
     """Train the chain; ``targets`` is (rows, categories) of 0 and 1, in chain order."""
     place = np.full(DIMS, -1)
     place[kept] = np.arange(len(kept))
-    x = np.zeros((len(rows), len(kept)), np.float32)
-    for i, r in enumerate(rows):
-        at = place[r["f"]]
-        x[i, at[at >= 0]] = np.asarray(r["v"])[at >= 0]
+    row = np.repeat(np.arange(len(rows)), [len(r["f"]) for r in rows])
+    col = place[np.concatenate([r["f"] for r in rows])]
+    value = np.concatenate([r["v"] for r in rows]).astype(float)
+    known = col >= 0
+    x = Features(row[known], col[known], value[known], len(kept), np.zeros((len(rows), 0)))
     fold = np.arange(len(rows)) % folds
     n, c_all = len(rows), len(names)
-    earlier = np.zeros((n, 0), np.float32)                    # out-of-fold log-odds so far
     text, links, bias = np.zeros((DIMS, c_all)), np.zeros((c_all, c_all)), np.zeros(c_all)
     for c in range(c_all):
-        full = np.concatenate([x, earlier], axis=1)
         unseen = np.zeros(n)
         for k in range(folds):
             out = fold == k
             if out.any() and (~out).any():
-                unseen[out] = _apply(_fit(full[~out], targets[~out, c]), full[out])
-        w = _fit(full, targets[:, c])
+                unseen[out] = _apply(_fit(x.of(~out), targets[~out, c]), x.of(out))
+        w = _fit(x, targets[:, c])
         text[kept, c] = w[:len(kept)]
         links[c, :c] = w[len(kept):len(kept) + c]
         bias[c] = w[-1]
-        earlier = np.concatenate([earlier, _logit(unseen)[:, None].astype(np.float32)], axis=1)
+        x = x.beside(_logit(unseen)[:, None])             # out-of-fold log-odds
     return Chain(names, text, links, bias)
 
 
