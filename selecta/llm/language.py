@@ -5,7 +5,7 @@ within the family, one linear support vector machine for each pair of
 languages votes, and the most votes win (ties: larger summed margin, then name).
 
 Features are hashed: each word, lower-cased, gives itself and its character
-1- and 3-grams with its borders; a text's features are means over its words.
+1- to 3-grams with its borders; a text's features are means over its words.
 
 Plan: a bounded sample of training rows (``quota`` a language in expectation, by hash) trains on the
 driver; one matrix of weights, with a column for each family and pair, is broadcast; all
@@ -21,7 +21,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from selecta.llm.common import byte_rows, texts
@@ -29,7 +29,6 @@ from selecta.llm.hashed_text import Buckets, WordScores, adam, bucket, counted,
 
 DIMS = 4_096
 QUOTA = 700
-MOST_LANGUAGES = 500
 
 #: Families of languages. Fixed values; a language not listed is a family of its own.
 FAMILIES = {
@@ -49,7 +48,7 @@ _BUCKETS = Buckets(DIMS)
 
 def word_features(word: bytes) -> list:
     w = "\x02" + word.decode("utf-8", "replace").lower() + "\x03"
-    grams = [w[i:i + 3] for i in range(len(w) - 2)]
+    grams = [w[i:i + n] for n in (2, 3) for i in range(len(w) - n + 1)]
     return [bucket(w, DIMS), *map(_BUCKETS.__getitem__, w), *map(_BUCKETS.__getitem__, grams)]
 
 
@@ -115,19 +114,27 @@ def _svm_fit(x, y, steps=200, l2=1e-3):
     return adam(gradient, np.zeros(x.shape[1] + 1), steps, 0.05)
 
 
+def training_rows(sampled: DataFrame, most: int = 4 * 4 * QUOTA) -> DataFrame:
+    """(doc_id, lang) of at most ``most`` rows of (doc_id, lang, unit): the first of every language by
+    ``unit``, then the second ones, and so on."""
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("unit", "doc_id"))
+    return sampled.withColumn("_nth", nth).orderBy("_nth", "unit", "doc_id", "lang").limit(most).select("doc_id", "lang").dropDuplicates(["doc_id"])
+
+
 def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", quota: int = QUOTA) -> Model | None:
     """A model from (expected) ``quota`` rows of each language of ``docs``; None without any.
 
     Rows are taken by the hash of their id, at a rate set by the language's count.
     """
     held = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).dropna()
-    counts = held.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
-    if not counts:
+    counts = held.groupBy("lang").count()
+    languages = counts.count()
+    if not languages:
         return None
-    quota = min(quota, max(50, 4 * QUOTA // len(counts)))
+    quota = min(quota, max(50, 4 * QUOTA // languages))
     unit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    rate = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, quota / r["count"])))])
-    wanted = held.filter(unit < F.element_at(rate, F.col("lang"))).select("doc_id", "lang").limit(4 * 4 * QUOTA).dropDuplicates(["doc_id"])
+    rates = counts.select("lang", F.least(F.lit(1.0), quota / F.col("count")).alias("rate"))
+    wanted = training_rows(held.select("doc_id", "lang", unit.alias("unit")).join(F.broadcast(rates), "lang").filter("unit < rate"))
     rows = [r for r in sample_rows(held.drop("lang"), wanted, ["lang"], text_features) if len(r["f"])]
     if not rows:
         return None
