@@ -40,7 +40,7 @@ def shape(word: str) -> str:
 
 def word_features(word: bytes) -> list:
     w = word.decode("utf-8", "replace")
-    return [bucket("w" + w, DIMS), bucket("p" + w[:4].lower(), DIMS), bucket("s" + shape(w[:200]), DIMS)]
+    return [bucket("w" + w, DIMS), bucket("p" + w[:4].lower(), DIMS), bucket("s" + shape(w), DIMS)]
 
 
 def figures(words: list) -> list:
