@@ -14,16 +14,13 @@ more than ``d`` non-empty segments needs only those; the few others send the emp
 Documents that agree in a segment are candidates; they are verified on the whole sets.
 
 Groups of candidates can be large, so their pairs are not listed. Equal sets
-count as one from the start. In each round every group names one pivot (the node with most
-links so far) and all others are verified against it; then links are joined to components. When
-a round finds nothing new, members of one group but of several components remain. Their whole
-parity sketches (two to four bits a shingle) are compared in memory, tile by tile; only pairs whose Hamming
-distance stays within the difference that a link allows leave the tile and are verified, so no link
-between different texts is lost.
+count as one from the start; :mod:`selecta.llm.linked_groups` finds the components of the links within the groups.
+There, whole parity sketches (two to four bits a shingle) are compared, and only pairs whose Hamming distance stays within the
+difference that a link allows are verified, so no link between different texts is lost.
 
 Plan: sketch records take 6 bytes, packed into one binary row for each batch and
-bucket (bucket by hash, one for each shuffle partition); equal sets of a batch send one record. Texts are never shuffled: the
-sets of documents in a group are read again from the table, and only those are.
+bucket (bucket by hash, one for each shuffle partition); equal sets of a batch send one record. Only texts in a
+candidate group are shuffled, twice at most.
 
 Defined results: null and wordless texts have an empty set and link with
 nothing. A text with fewer than k words has its whole sequence as its one
@@ -39,12 +36,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from selecta.llm.common import U64, byte_rows, by_bucket, hashed_words, mix, partitions_for, stage, texts, window_hashes, with_maybe
+from selecta.llm.common import U64, byte_rows, by_bucket, free, mix, partitions_for, stage, texts
+from selecta.llm.linked_groups import components, linked_groups
+from selecta.llm.shingles import SALT, prints, shingle_sets
 
 WORDS, NUM, DEN = 5, 80, 100
 #: Sizes of one band lie within this ratio.
 BAND = 1.5
-_SALT = (0xA24BAED4963EE407, 0x9FB21C651E98DF25)
 
 
 def bands(limit: int) -> list:
@@ -65,39 +63,6 @@ def segments(apart: int) -> int:
     return apart + 1 + apart // 8 + 2
 
 
-def shingle_sets(rows: list, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of all texts, sorted within each text, and their offsets."""
-    h, offsets = hashed_words(rows, lower=True)
-    sizes = np.diff(offsets)
-    text = np.repeat(np.arange(len(rows)), sizes)
-    if len(h) >= k:
-        w = window_hashes(h, k)
-        at = np.arange(len(w))
-        whole = offsets[text[:len(w)] + 1] - at >= k
-        owner, values = text[:len(w)][whole], w[whole]
-    else:
-        owner, values = np.empty(0, np.int64), np.empty(0, U64)
-    for r in np.flatnonzero((sizes > 0) & (sizes < k)):
-        owner = np.append(owner, r)
-        values = np.append(values, window_hashes(h[offsets[r]:offsets[r + 1]], int(sizes[r])) ^ U64(sizes[r]))
-    order = np.lexsort((values, owner))
-    owner, values = owner[order], values[order]
-    new = np.ones(len(values), bool)
-    new[1:] = (owner[1:] != owner[:-1]) | (values[1:] != values[:-1])
-    owner, values = owner[new], values[new]
-    return values, np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(rows)))]).astype(np.int64)
-
-
-def _sum_by(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    total = np.concatenate([[U64(0)], np.cumsum(values, dtype=U64)])
-    return total[offsets[1:]] - total[offsets[:-1]]
-
-
-def prints(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit prints of each set; equal sets have equal prints."""
-    return tuple(mix(_sum_by(mix(values ^ U64(s)), offsets)).view(np.int64) for s in _SALT)
-
-
 def segment_keys(values: np.ndarray, sizes: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """(set, key) of every sketch segment that a set sends. ``values`` are the sets' shingles, one set after the other."""
     if not len(sizes):
@@ -118,11 +83,11 @@ def segment_keys(values: np.ndarray, sizes: np.ndarray, num: int, den: int) -> t
         base = np.cumsum(count[band]) - count[band]                 # first segment of each set
         owner = np.repeat(np.arange(len(sets)), n)
         shingle = values[np.repeat(starts[sets] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-        place = mix(shingle ^ U64(_SALT[1])) % count[band][owner].astype(U64)
+        place = mix(shingle ^ U64(SALT[1])) % count[band][owner].astype(U64)
         place = base[owner] + place.astype(np.int64)
         total = int(count[band].sum())
         key = np.zeros(total, U64)
-        np.bitwise_xor.at(key, place, mix(shingle ^ U64(_SALT[0])))
+        np.bitwise_xor.at(key, place, mix(shingle ^ U64(SALT[0])))
         filled = np.bincount(place, minlength=total) > 0
         whose = np.repeat(np.arange(len(sets)), count[band])
         enough = np.bincount(whose, weights=filled, minlength=len(sets)) > apart[band]
@@ -206,182 +171,30 @@ def _candidate_groups(num: int, den: int):
     return run
 
 
-def links(a: bytes, b: bytes, num: int, den: int) -> bool:
-    """Whether two sorted sets of 64-bit shingles link."""
-    x, y = np.frombuffer(a, U64), np.frombuffer(b, U64)
-    if min(len(x), len(y)) * den < max(len(x), len(y)) * num:
-        return False
-    at = np.searchsorted(x, y)
-    both = int((x[np.minimum(at, len(x) - 1)] == y).sum()) if len(x) else 0
-    return both > 0 and den * both >= num * (len(x) + len(y) - both)
-
-
-def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b, linked) of pairs (a, b) of representatives."""
-    def run(batches):
-        for b in batches:
-            ok = [links(x, y, num, den) for x, y in zip(b.column("sa").to_pylist(), b.column("sb").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(ok, pa.bool_())], names=["a", "b", "linked"])
-
-    pairs = stage(pairs, "pairs")
-    named = pairs.select(F.explode(F.array("a", "b")).alias("rep"))
-    sets = with_maybe(sets, "rep", named, "_maybe").filter("_maybe")      # only their sets are shuffled
-    full = (pairs.join(sets.select(F.col("rep").alias("b"), F.col("set").alias("sb")), "b")
-            .join(sets.select(F.col("rep").alias("a"), F.col("set").alias("sa")), "a"))
-    return full.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, linked boolean")
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(node, comp): the smallest node of each component of the edges (a, b).
-
-    Labels spread along edges, then jump to the label of their label; rounds
-    grow with the logarithm of the longest path. Each round is written to the shared folder.
-    """
-    both = stage(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    label = stage(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("comp")), "labels")
-    while True:
-        pushed = both.join(label, both["b"] == label["node"]).groupBy("a").agg(F.min("comp").alias("p"))
-        near = label.join(pushed, label["node"] == pushed["a"]).select("node", F.col("comp").alias("old"), F.least("comp", "p").alias("comp"))
-        near = stage(near, "near")
-        parent = near.select(F.col("node").alias("pn"), F.col("comp").alias("pc"))
-        label_next = stage(near.join(parent, near["comp"] == parent["pn"]).select("node", "old", F.least("comp", "pc").alias("comp")), "labels")
-        if label_next.filter(F.col("old") != F.col("comp")).isEmpty():
-            return label_next.select("node", "comp")
-        label = label_next.select("node", "comp")
-
-
-def _unequal(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
-    """Group rows (grp, rep, size) with ``comp``, without groups that are settled:
-    those in one component, and pairs, which the first round has verified."""
-    if comps is None:
-        return rows.withColumn("comp", F.col("rep"))
-    rows = rows.join(comps.select(F.col("node").alias("rep"), "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    mixed = (rows.groupBy("grp").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n"))
-             .filter("lo < hi AND n > 2").select("grp"))
-    return rows.join(mixed, "grp")
-
-
-#: Members of a group that are compared with one another at once.
-TILE = 1_024
-
-
-def sketch(shingles: bytes) -> bytes:
-    """Parity sketch of a set: every shingle flips one of 2 to 4 bits a shingle (a power of two)."""
-    x = np.frombuffer(shingles, U64)
-    bits = max(64, 1 << (2 * len(x) - 1).bit_length())
-    at = (mix(x ^ U64(_SALT[0])) & U64(bits - 1)).astype(np.int64)
-    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
-
-
-def _folded(sketches: np.ndarray, words: int) -> np.ndarray:
-    """Sketches of (rows, more words) as they would be with ``words`` words."""
-    while sketches.shape[1] > words:
-        half = sketches.shape[1] // 2
-        sketches = sketches[:, :half] ^ sketches[:, half:]
-    return sketches
-
-
-def near_pairs(a: dict, b: dict, same: bool, num: int, den: int) -> np.ndarray:
-    """(x, y) of members of two tiles that differ in component and that sizes and
-    sketches do not rule out. A tile has arrays rep, size, comp and a list sketch."""
-    out = [np.empty((0, 2), np.int64)]
-    words = [np.array([len(x) // 8 for x in t["sketch"]]) for t in (a, b)]
-    for wa in np.unique(words[0]):
-        ia = np.flatnonzero(words[0] == wa)
-        sa = np.frombuffer(b"".join(a["sketch"][i] for i in ia), U64).reshape(len(ia), wa)
-        for wb in np.unique(words[1]):
-            ib = np.flatnonzero(words[1] == wb)
-            sb = np.frombuffer(b"".join(b["sketch"][i] for i in ib), U64).reshape(len(ib), wb)
-            x, y = _folded(sa, min(wa, wb)), _folded(sb, min(wa, wb))
-            nb, cb, rb = b["size"][ib], b["comp"][ib], b["rep"][ib]
-            for j, i in enumerate(ia):
-                n = a["size"][i]
-                ok = (cb != a["comp"][i]) & (np.minimum(nb, n) * den >= np.maximum(nb, n) * num)
-                if same:
-                    ok &= rb > a["rep"][i]
-                k = np.flatnonzero(ok)
-                if len(k):
-                    apart = np.bitwise_count(y[k] ^ x[j]).sum(axis=1, dtype=np.int64)
-                    k = k[apart <= (den - num) * (nb[k] + n) // (den + num)]
-                    out.append(np.stack([np.full(len(k), a["rep"][i]), rb[k]], axis=1))
-    found = np.concatenate(out)
-    return np.unique(np.sort(found, axis=1), axis=0)
-
-
-def _near_rows(num: int, den: int):
-    """Pairs (a, b) of each tile pair (grp, lo, hi) of a bucket."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["grp", "lo", "hi"], kind="stable")
-        keys = pdf[["grp", "lo", "hi"]].to_numpy()
-        cols = {c: pdf[c].to_numpy(np.int64) for c in ("rep", "size", "comp", "tile")}
-        sketches = pdf["sketch"].tolist()
-        first = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)]))
-        out = [np.empty((0, 2), np.int64)]
-        for x, y in zip(first, np.concatenate([first[1:], [len(keys)]])):
-            lo, hi = keys[x, 1], keys[x, 2]
-
-            def tile(t, x=x, y=y):
-                i = x + np.flatnonzero(cols["tile"][x:y] == t)
-                return {c: cols[c][i] for c in ("rep", "size", "comp")} | {"sketch": [sketches[j] for j in i]}
-
-            a = tile(lo)
-            out.append(near_pairs(a, a if lo == hi else tile(hi), lo == hi, num, den))
-        pairs = np.unique(np.concatenate(out), axis=0)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
-    return run
-
-
-def remaining_pairs(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Distinct pairs (a, b) of group rows (grp, rep, size, comp) that only the whole sets can decide."""
-    def sketches(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("rep"), pa.array([sketch(x) for x in b.column("set").to_pylist()], pa.binary())],
-                                             names=["rep", "sketch"])
-
-    n = partitions_for(rows.sparkSession)
-    held = sets.mapInArrow(sketches, "rep long, sketch binary")
-    count = rows.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
-    tiled = rows.join(count, "grp").withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
-    tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    tiled = tiled.select("grp", "rep", "size", "comp", "tile", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"))
-    tiled = tiled.withColumn("bucket", F.pmod(F.xxhash64("grp", "lo", "hi"), F.lit(4 * n)).cast("int"))
-    return (tiled.join(held, "rep").groupBy("bucket").applyInPandas(_near_rows(num, den), "a long, b long").distinct())
+def equal_sets(sets: DataFrame) -> DataFrame:
+    """(n, one, two, rep): one representative of the rows (doc_id, n, one, two) with equal, non-empty sets."""
+    return (sets.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
+            .groupBy("n", "one", "two").agg(F.min("doc_id").alias("rep")))
 
 
-def link_components(groups: DataFrame, sets: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """(components, links) of the representatives in candidate groups (grp, rep, size)."""
-    spark = groups.sparkSession
-    edges = spark.createDataFrame([], "a long, b long")
-    tested = edges
-    degree = spark.createDataFrame([], "rep long, degree long")
-    comps = None
-    fits = F.least("size", "psize").cast("long") * den >= F.greatest("size", "psize").cast("long") * num
-    while True:
-        rows = stage(_unequal(groups, comps), "unequal")
-        if rows.isEmpty():
-            break
-        # one pivot for each group: the node with most links, then the smallest
-        ranked = rows.join(degree, "rep", "left").withColumn("rank", F.struct(-F.coalesce("degree", F.lit(0)), "rep", "size", "comp"))
-        pivots = stage(ranked.groupBy("grp").agg(F.min("rank").alias("p")).select(
-            "grp", F.col("p.rep").alias("pivot"), F.col("p.size").alias("psize"), F.col("p.comp").alias("pcomp")), "pivots")
-        pairs = (rows.join(pivots, "grp").filter((F.col("comp") != F.col("pcomp")) & fits)
-                 .select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct())
-        found = stage(_verify(pairs.join(tested, ["a", "b"], "left_anti"), sets, num, den), "verified")
-        tested = stage(tested.unionByName(found.select("a", "b")), "tested")
-        new = found.filter("linked").select("a", "b")
-        last = new.isEmpty()
-        if last:
-            # no pivot links anything more: the rest by their sketches
-            pairs = remaining_pairs(rows, sets, num, den).join(tested, ["a", "b"], "left_anti")
-            new = stage(_verify(pairs, sets, num, den), "verified").filter("linked").select("a", "b")
-            if new.isEmpty():
-                break
-        edges = stage(edges.unionByName(new), "links")
-        comps = stage(components(edges), "components")
-        if last:
-            break
-        degree = stage(edges.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("degree")), "degree")
-    return (comps if comps is not None else spark.createDataFrame([], "node long, comp long")), edges
+def with_components(sets: DataFrame, classes: DataFrame, comps: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of the rows of ``sets``, from the components (node, comp) of
+    representatives, a written table that is deleted."""
+    classes = classes.join(comps, classes["rep"] == comps["node"], "left").select("n", "one", "two", F.coalesce("comp", "rep").alias("comp"))
+    named = stage(sets.select("doc_id", "n", "one", "two").join(classes, ["n", "one", "two"], "left"), "named")
+    free(comps)
+    # ids whose rows hold several texts tie the components of these texts together
+    ties = (named.filter("comp IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id")
+            .agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a != b"))
+    ids = sets.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("one").alias("lo"), F.max("one").alias("hi")).filter("lo != hi")
+    if not ids.isEmpty():
+        spread = named.join(ties.select("doc_id", "a"), "doc_id").filter("comp IS NOT NULL").select("a", F.col("comp").alias("b"))
+        merged = components(spread).select(F.col("node").alias("comp"), F.col("comp").alias("joined"))
+        named = named.join(merged, "comp", "left").withColumn("comp", F.coalesce("joined", "comp"))
+        whole = named.groupBy("doc_id").agg(F.min("comp").alias("least"))
+        named = named.join(whole.filter("doc_id IS NOT NULL"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "least"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))
+    return named.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def similarity_classes(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN, id_col: str = "doc_id",
@@ -392,28 +205,16 @@ def similarity_classes(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int
     held = texts(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     known = held.filter(F.col("doc_id").isNotNull())
     sets = stage(held.mapInArrow(_set_rows(k), "doc_id long, n long, one long, two long"), "sets")
-    classes = stage(sets.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
-                    .groupBy("n", "one", "two").agg(F.min("doc_id").alias("rep")), "classes")
+    classes = stage(equal_sets(sets), "classes")
     groups = (known.mapInArrow(_sketch_rows(k, num, den, n), "bucket int, node binary, size binary, key binary, at binary")
               .groupBy("bucket").applyInPandas(_candidate_groups(num, den), "grp long, node long, size int"))
-    groups = stage(groups.dropDuplicates(["grp", "node"]), "groups")
-    groups = stage(groups.join(classes.select(F.col("one").alias("node"), F.col("n").cast("int").alias("size"), "rep"), ["node", "size"])
+    found = stage(groups.dropDuplicates(["grp", "node"]), "groups")
+    groups = stage(found.join(classes.select(F.col("one").alias("node"), F.col("n").cast("int").alias("size"), "rep"), ["node", "size"])
                    .select("grp", "rep", "size"), "groups")
-    members = stage(groups.select(F.col("rep").alias("doc_id")).distinct(), "members")
-
-    def set_bytes(batches):
-        for b in batches:
-            values, offsets = shingle_sets(byte_rows(b.column("text")), k)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array([values[a:z].tobytes() for a, z in zip(offsets[:-1], offsets[1:])], pa.binary())], names=["rep", "set"])
-
-    again = with_maybe(known, "doc_id", members, "_maybe").filter("_maybe").select("doc_id", "text")
-    wanted = stage(again.mapInArrow(set_bytes, "rep long, set binary"), "shingles")
-    comps, _ = link_components(groups, wanted, num, den)
-    classes = classes.join(comps, classes["rep"] == comps["node"], "left").select("n", "one", "two", F.coalesce("comp", "rep").alias("comp"))
-    named = sets.join(stage(classes, "named"), ["n", "one", "two"], "left").select("doc_id", F.col("n").alias("n_shingles"), "comp")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))
-    return named.select("doc_id", "n_shingles", component.alias("component_id"))
+    free(found)
+    comps = linked_groups(groups, known, k, num, den)
+    free(groups)
+    return with_components(sets, classes, comps)
 
 
 def keep_one(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
