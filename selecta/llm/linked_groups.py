@@ -295,33 +295,39 @@ def link_in_rounds(groups: DataFrame, sets: DataFrame, num: int, den: int) -> Da
 
 
 #: Shingles and members of the largest field that is linked in memory, and shingles of a block.
-FIELD_SHINGLES, FIELD_MEMBERS, BLOCK_SHINGLES = 2_000_000, 4_096, 2_000_000
+FIELD_SHINGLES, FIELD_MEMBERS, BLOCK_SHINGLES = 4_000_000, 16_384, 2_000_000
 
 
 def linked_in_memory(reps: np.ndarray, sets: list, num: int, den: int) -> np.ndarray:
-    """Smallest representative of the component of each set; sets of one representative are linked."""
-    _, comp = np.unique(reps, return_inverse=True)
+    """Smallest representative of the component of each set; sets of one representative are linked.
+
+    Sets are taken by size, so that the partners that its size allows follow a set directly."""
+    order = np.argsort([len(x) for x in sets], kind="stable")
+    sets = [sets[i] for i in order]
     sizes = np.array([len(x) for x in sets], np.int64)
+    _, comp = np.unique(reps[order], return_inverse=True)
     sketches = [np.frombuffer(sketch(x.tobytes()), U64) for x in sets]
-    words = np.array([len(x) for x in sketches])
-    tables = {int(w): np.flatnonzero(words == w) for w in np.unique(words)}
-    stacked = {w: np.stack([sketches[i] for i in at]) for w, at in tables.items()}
+    words = np.array([len(x) for x in sketches])            # grows with the size
+    tables = [(int(w), int(np.searchsorted(words, w)), np.stack([sketches[i] for i in np.flatnonzero(words == w)])) for w in np.unique(words)]
+    ends = np.searchsorted(sizes, sizes * den // num, side="right")
     for i in range(len(sets) - 1):
         if (comp == comp[0]).all():
             break
-        for w, at in tables.items():
-            ok = (at > i) & (comp[at] != comp[i]) & (np.minimum(sizes[at], sizes[i]) * den >= np.maximum(sizes[at], sizes[i]) * num)
-            near = np.flatnonzero(ok)
+        for w, start, table in tables:
+            lo, hi = max(i + 1, start), min(int(ends[i]), start + len(table))
+            near = lo + np.flatnonzero(comp[lo:hi] != comp[i]) if hi > lo else []
             if not len(near):
                 continue
             least = min(w, int(words[i]))
-            apart = np.bitwise_count(_folded(stacked[w][near], least) ^ _folded(sketches[i][None], least)).sum(axis=1, dtype=np.int64)
-            for j in at[near[apart <= (den - num) * (sizes[at[near]] + sizes[i]) // (den + num)]]:
+            apart = np.bitwise_count(_folded(table[near - start], least) ^ _folded(sketches[i][None], least)).sum(axis=1, dtype=np.int64)
+            for j in near[apart <= (den - num) * (sizes[near] + sizes[i]) // (den + num)]:
                 if comp[j] != comp[i] and linked_sets(sets[i], sets[j], num, den):
                     comp[comp == comp[j]] = comp[i]
     least = np.full(int(comp.max()) + 1, np.iinfo(np.int64).max)
-    np.minimum.at(least, comp, reps)
-    return least[comp]
+    np.minimum.at(least, comp, reps[order])
+    out = np.empty(len(sets), np.int64)
+    out[order] = least[comp]
+    return out
 
 
 def _block_rows(k: int, num: int, den: int):
@@ -341,7 +347,9 @@ def linked_groups(groups: DataFrame, docs: DataFrame, k: int, num: int, den: int
     """(node, comp) of the representatives in ``groups`` (grp, rep, size); texts in ``docs`` (doc_id, text). Written."""
     spark = groups.sparkSession
     first = groups.groupBy("grp").agg(F.min("rep").alias("a"))
-    edges = groups.join(first, "grp").filter("rep != a").select("a", F.col("rep").alias("b"))
+    # a member names the least of its groups' first members, and these with one another: bounded by its own groups
+    stars = groups.join(first, "grp").filter("rep != a").groupBy("rep").agg(F.min("a").alias("a"), F.collect_set("a").alias("others"))
+    edges = stars.select("a", F.explode(F.concat("others", F.array("rep"))).alias("b")).filter("a != b").distinct()
     field = components(edges)
     members = groups.groupBy("rep").agg(F.max("size").cast("long").alias("size")).join(field.select(F.col("node").alias("rep"), F.col("comp").alias("field")), "rep")
     members = stage(members, "members")
