@@ -35,9 +35,9 @@ from selecta.llm.count_automata import Trie, compose, distinct, split, trie, uni
 
 MIN_COUNT, LONGEST, TOP, SCALE, COVERED = 30, 4, 2_000, 2_000_000, 80
 #: Bytes of text of a shard, and bytes of text for each prefix range.
-SHARD_BYTES, RANGE_BYTES = 8 << 20, 24 << 20
-#: Texts and strings sampled for the borders (as expected numbers), and frequent phrases of a range.
-SAMPLE_TEXTS, SAMPLE_STRINGS, RANGE_PHRASES = 4_000, 200_000, 200_000
+SHARD_BYTES, RANGE_BYTES = 8 << 20, 8 << 20
+#: Texts and strings sampled for the borders (expected numbers; 20 strings a range if that is more), and frequent phrases of a range.
+SAMPLE_TEXTS, SAMPLE_STRINGS, RANGE_PHRASES = 4_000, 50_000, 200_000
 _BLANK, _BREAK = 1, 2
 _CLASS = np.zeros(256, np.uint8)
 _CLASS[[0x20, 0x09]] = _BLANK
@@ -107,7 +107,7 @@ def borders(strings: list, ranges: int) -> list:
 def _sampled(docs: DataFrame, size: int, n_rows: int, n_bytes: int, ranges: int, longest: int) -> list:
     """Borders of the prefix ranges of ``docs`` from a sample of its strings."""
     share = min(1.0, SAMPLE_TEXTS / max(1, n_rows))
-    rate = min(1.0, SAMPLE_STRINGS / max(1.0, share * n_bytes / 6))
+    rate = min(1.0, max(SAMPLE_STRINGS, 20 * ranges) / max(1.0, share * n_bytes / 6))
 
     def run(batches):
         random = np.random.default_rng(7)
@@ -242,7 +242,7 @@ def part_counts(phrases: DataFrame, longest: int = LONGEST, backward: bool = Fal
     some = phrases.filter(F.size("words") > 0)
     n = some.count()
     ranges = max(partitions_for(spark), -(-n // range_phrases))
-    sample = some.sample(min(1.0, SAMPLE_STRINGS / max(1, n)), seed=13).select("lang", "words").collect()
+    sample = some.sample(min(1.0, max(SAMPLE_STRINGS, 20 * ranges) / max(1, n)), seed=13).select("lang", "words").collect()
     order = (lambda w: w[::-1]) if backward else list
     cuts = borders([(r["lang"].encode(), *[w.encode() for w in order(r["words"])], *[b""] * (longest - len(r["words"]))) for r in sample], ranges)
     dealt = some.mapInArrow(_dealt(cuts, longest, backward), "range long, own boolean, lang string, words array<string>, f long")
