@@ -35,7 +35,7 @@ from selecta.llm.count_automata import Trie, compose, distinct, split, trie, uni
 
 MIN_COUNT, LONGEST, TOP, SCALE, COVERED = 30, 4, 2_000, 2_000_000, 80
 #: Bytes of text of a shard, and bytes of text for each prefix range.
-SHARD_BYTES, RANGE_BYTES = 8 << 20, 8 << 20
+SHARD_BYTES, RANGE_BYTES = 4 << 20, 8 << 20
 #: Texts and strings sampled for the borders (expected numbers; 20 strings a range if that is more), and frequent phrases of a range.
 SAMPLE_TEXTS, SAMPLE_STRINGS, RANGE_PHRASES = 4_000, 50_000, 200_000
 _BLANK, _BREAK = 1, 2
