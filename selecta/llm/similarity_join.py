@@ -60,7 +60,11 @@ def most_apart(size: int, num: int, den: int) -> int:
 
 def segments(apart: int) -> int:
     """Segments for sets that differ in at most ``apart`` shingles: some to spare for empty ones."""
-    return apart + 1 + apart // 8 + 2
+    return apart + 1 + apart // 4 + 2
+
+
+#: Dealings of the shingles to segments: a set goes on to the next while too few of its segments hold some.
+DEALS = 8
 
 
 def segment_keys(values: np.ndarray, sizes: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
@@ -83,20 +87,26 @@ def segment_keys(values: np.ndarray, sizes: np.ndarray, num: int, den: int) -> t
         base = np.cumsum(count[band]) - count[band]                 # first segment of each set
         owner = np.repeat(np.arange(len(sets)), n)
         shingle = values[np.repeat(starts[sets] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-        place = mix(shingle ^ U64(SALT[1])) % count[band][owner].astype(U64)
-        place = base[owner] + place.astype(np.int64)
         total = int(count[band].sum())
-        key = np.zeros(total, U64)
-        np.bitwise_xor.at(key, place, mix(shingle ^ U64(SALT[0])))
-        filled = np.bincount(place, minlength=total) > 0
         whose = np.repeat(np.arange(len(sets)), count[band])
-        enough = np.bincount(whose, weights=filled, minlength=len(sets)) > apart[band]
         segment = np.arange(total) - base[whose]
-        send = filled | ~enough[whose]
-        with np.errstate(over="ignore"):
-            tag = mix((band[whose].astype(U64) << U64(40)) + segment.astype(U64))
-        out_set.append(sets[whose[send]])
-        out_key.append(mix(key ^ tag)[send])
+        left = np.ones(len(sets), bool)
+        for deal in range(DEALS):
+            at = left[owner]
+            place = mix(shingle[at] ^ U64(SALT[1]) ^ U64(deal)) % count[band][owner[at]].astype(U64)
+            place = base[owner[at]] + place.astype(np.int64)
+            key = np.zeros(total, U64)
+            np.bitwise_xor.at(key, place, mix(shingle[at] ^ U64(SALT[0])))
+            filled = np.bincount(place, minlength=total) > 0
+            enough = np.bincount(whose, weights=filled, minlength=len(sets)) > apart[band]
+            left &= ~enough
+            send = filled | (left[whose] & (deal == DEALS - 1))
+            with np.errstate(over="ignore"):
+                tag = mix((band[whose].astype(U64) << U64(40)) + (U64(deal) << U64(32)) + segment.astype(U64))
+            out_set.append(sets[whose[send]])
+            out_key.append(mix(key ^ tag)[send])
+            if not left.any():
+                break
     if not out_set:
         return np.empty(0, np.int64), np.empty(0, U64)
     return np.concatenate(out_set), np.concatenate(out_key)
