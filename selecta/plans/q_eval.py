@@ -113,14 +113,16 @@ def q_eval_cross(spark, sf_dir):
         F.round(F.avg("perp"), 2).alias("perplexity"), F.count(F.lit(1)).alias("n_pairs"))
 
 
-@query("eval_unmatched", oracle=with_(PREDS) + """
-, p AS (SELECT row_id, seed FROM preds WHERE seed = 2021 AND row_id % 3 <> 1),
-t AS (SELECT row_id FROM pairs WHERE row_id % 5 <> 2)
+@query("eval_unmatched", oracle="""
+WITH p AS (SELECT conv_id * 1000000 + turn - 1 AS row_id FROM conversations WHERE role = 'assistant'),
+t AS (SELECT conv_id * 1000000 + turn AS row_id FROM conversations WHERE role = 'user')
 SELECT CASE WHEN p.row_id IS NULL THEN 'truth' WHEN t.row_id IS NULL THEN 'prediction' ELSE 'both' END AS match, count(*) AS n
 FROM p FULL JOIN t ON p.row_id = t.row_id GROUP BY ALL""")
 def q_eval_unmatched(spark, sf_dir):
-    """J1 (Q24): predictions and truths from two tables that each lack some
-    rows, aligned by key; how many match and how many do not."""
-    p = preds(spark, sf_dir).filter((F.col("seed") == 2021) & (F.col("row_id") % 3 != 1)).select("row_id", "pred")
-    t = pairs(spark, sf_dir).filter(F.col("row_id") % 5 != 2).select("row_id", "output")
-    return matched_pairs(p, t).groupBy("match").agg(F.count(F.lit(1)).alias("n"))
+    """J1 (Q24): every user turn and every answer, aligned by the answer's place right after
+    its turn; how many match and how many do not."""
+    c = read_table(spark, sf_dir, "conversations")
+    key = F.col("conv_id") * 1_000_000 + F.col("turn")
+    answers = c.filter(F.col("role") == "assistant").select((key - 1).alias("row_id"), F.col("text").alias("pred"))
+    turns = c.filter(F.col("role") == "user").select(key.alias("row_id"), F.col("text").alias("output"))
+    return matched_pairs(answers, turns).groupBy("match").agg(F.count(F.lit(1)).alias("n"))
