@@ -1,7 +1,6 @@
 """Components of the links within candidate groups, verified on whole sets.
 
-An operator on near copies names groups of sets that may link. Linked sets have similar sizes, so each
-group falls into windows of sizes, with every pair that may link in one of them. Groups of a window that share a member are one *field*
+An operator on near copies names groups of sets that may link. Groups that share a member are one *field*
 (the components of the unverified groups, a few bytes a member).
 A field of bounded size goes to one block: its texts are shuffled there once, and its links are found in
 memory, whatever the number of groups and pairs: sizes and parity sketches rule out most pairs, whole sets decide the rest, and
@@ -11,13 +10,11 @@ A field beyond that size (a third of all rows may be near copies of one text) is
 round every group names one pivot (the node with most links so far) and the others are compared with it, first
 by sketches, then by whole sets. When a round finds nothing new, members of one group but of several
 components remain; their sketches are compared tile by tile, and only pairs within the Hamming distance
-that a link allows are verified. Both ways find every link between members of a group; the links of all windows make the components.
+that a link allows are verified. Both ways find every link between members of a group.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -349,45 +346,34 @@ def _block_rows(k: int, num: int, den: int):
 def linked_groups(groups: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """(node, comp) of the representatives in ``groups`` (grp, rep, size); texts in ``docs`` (doc_id, text). Written."""
     spark = groups.sparkSession
-    # sizes in steps of the largest ratio of linked sets: a pair lies in one step or in two that follow one another,
-    # so a window is a step with its next one, and a group counts in a window that has a member of the first step
-    step = max(1.001 * math.log(den / num), 0.05)
-    rows = groups.withColumn("step", F.floor(F.log("size") / step).cast("int"))
-    rows = rows.withColumn("window", F.explode(F.array(F.col("step"), F.col("step") - 1)))
-    rows = rows.select(F.xxhash64("grp", "window").alias("grp"), "rep", "size", F.xxhash64("rep", "window").alias("member"),
-                       (F.col("step") == F.col("window")).alias("low"))
-    first = (rows.groupBy("grp").agg(F.min("member").alias("a"), F.max("member").alias("z"), F.max("low").alias("low"))
-             .filter("a != z AND low").select("grp", "a"))
-    rows = stage(rows.drop("low").join(first, "grp"), "windows")
+    first = groups.groupBy("grp").agg(F.min("rep").alias("a"))
     # a member names the least of its groups' first members, and these with one another: bounded by its own groups
-    stars = rows.filter("member != a").groupBy("member").agg(F.min("a").alias("a"), F.collect_set("a").alias("others"))
-    edges = stars.select("a", F.explode(F.concat("others", F.array("member"))).alias("b")).filter("a != b").distinct()
+    stars = groups.join(first, "grp").filter("rep != a").groupBy("rep").agg(F.min("a").alias("a"), F.collect_set("a").alias("others"))
+    edges = stars.select("a", F.explode(F.concat("others", F.array("rep"))).alias("b")).filter("a != b").distinct()
     field = components(edges)
-    members = rows.groupBy("member").agg(F.max("size").cast("long").alias("size"), F.max("rep").alias("rep"))
-    members = stage(members.join(field.select(F.col("node").alias("member"), F.col("comp").alias("field")), "member"), "members")
+    members = groups.groupBy("rep").agg(F.max("size").cast("long").alias("size")).join(field.select(F.col("node").alias("rep"), F.col("comp").alias("field")), "rep")
+    members = stage(members, "members")
     load = members.groupBy("field").agg(F.sum("size").alias("shingles"), F.count(F.lit(1)).alias("n"))
     load = stage(load.withColumn("small", (F.col("shingles") <= FIELD_SHINGLES) & (F.col("n") <= FIELD_MEMBERS)), "load")
     total = load.filter("small").agg(F.sum("shingles")).first()[0] or 0
     buckets = max(partitions_for(spark), -(-total // BLOCK_SHINGLES))
     placed = stage(members.join(load.select("field", "small"), "field")
-                   .select("member", "rep", "field", "small", F.pmod(F.xxhash64("field"), F.lit(buckets)).alias("bucket")), "placed")
+                   .select("rep", "field", "small", F.pmod(F.xxhash64("field"), F.lit(buckets)).alias("bucket")), "placed")
     free(field, members, load)
 
     def texts_of(some: DataFrame) -> DataFrame:
         held = with_maybe(docs, "doc_id", some.select(F.col("rep").alias("doc_id")), "_maybe").filter("_maybe")
         return held.select(F.col("doc_id").alias("rep"), F.col("text").cast("binary").alias("text")).join(some, "rep")
 
-    blocks = texts_of(placed.filter("small").select("bucket", "field", "rep")).select("bucket", "field", "rep", "text")
-    found = [stage(blocks.groupBy("bucket").applyInPandas(_block_rows(k, num, den), "node long, comp long"), "linked")]
+    blocks = texts_of(placed.filter("small")).select("bucket", "field", "rep", "text")
+    out = stage(blocks.groupBy("bucket").applyInPandas(_block_rows(k, num, den), "node long, comp long"), "components")
     large = placed.filter("NOT small")
     if not large.isEmpty():
-        sets = stage(set_rows(texts_of(large.select("rep").distinct()), k, []), "shingles")
-        held = stage(rows.join(large.select("member"), "member").select("grp", "rep", "size"), "large")
-        found.append(link_in_rounds(held, sets, num, den))
-        free(sets, held)
-    edges = found[0]
-    for more in found[1:]:
-        edges = edges.unionByName(more.select("node", "comp"))
-    out = components(edges.filter("node != comp").select(F.col("comp").alias("a"), F.col("node").alias("b")))
-    free(placed, rows, *found)
+        sets = stage(set_rows(texts_of(large), k, []), "shingles")
+        held = stage(groups.join(large.select("rep"), "rep"), "large")
+        rest = link_in_rounds(held, sets, num, den)
+        both = stage(out.unionByName(rest.select("node", "comp")), "components")
+        free(sets, held, rest, out)
+        out = both
+    free(placed)
     return out
