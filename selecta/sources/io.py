@@ -1,10 +1,8 @@
 """File sources and sinks.
 
 Readers take explicit schemas; positions that the reference kept implicitly
-(list index) become an explicit ``row_id``. Large inputs should be JSON Lines
-or parquet with a ``row_id`` column: a single JSON array document is one
-record, so it is read by one task (fine for the small prediction lists the
-reference writes, not for tables).
+(list index) become an explicit ``row_id``. A JSON array file is read in byte
+ranges (:mod:`selecta.sources.json_array`).
 """
 
 from __future__ import annotations
@@ -18,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from selecta.session import path_exists
+from selecta.sources.json_array import json_array_elements
 from selecta.sources.tables import require_columns
 
 INSTRUCTION_SCHEMA = T.StructType([
@@ -57,10 +56,9 @@ def with_row_id(df: DataFrame, order_col: str | None = None) -> DataFrame:
 
 
 def read_json_string_array(spark: SparkSession, path: str, value: str = "text") -> DataFrame:
-    """S3: a JSON array of strings -> (row_id = position, value)."""
-    raw = spark.read.text(path, wholetext=True)
-    arr = F.from_json(F.col("value"), T.ArrayType(T.StringType()))
-    return raw.select(F.posexplode(arr).alias("row_id", value)).withColumn("row_id", F.col("row_id").cast("long"))
+    """S3: a JSON array of strings -> (row_id = position, value). The file is read in byte ranges."""
+    parsed = F.from_json(F.concat(F.lit("["), F.col("element"), F.lit("]")), T.ArrayType(T.StringType()))
+    return json_array_elements(spark, path).select("row_id", parsed[0].alias(value))
 
 
 def read_jsonl_field(spark: SparkSession, path: str, field: str, schema: T.StructType | None = None) -> DataFrame:
@@ -70,12 +68,10 @@ def read_jsonl_field(spark: SparkSession, path: str, field: str, schema: T.Struc
 
 
 def read_prompt_responses(spark: SparkSession, path: str) -> DataFrame:
-    """JSON array of one-key maps {prompt: [responses]} -> (row_id, prompt, responses)."""
-    raw = spark.read.text(path, wholetext=True)
-    arr = F.from_json(F.col("value"), T.ArrayType(T.MapType(T.StringType(), T.ArrayType(T.StringType()))))
-    ex = raw.select(F.posexplode(arr).alias("row_id", "m"))
-    e = F.element_at(F.map_entries("m"), 1)
-    return ex.select(F.col("row_id").cast("long"), e["key"].alias("prompt"), e["value"].alias("responses"))
+    """JSON array of one-key maps {prompt: [responses]} -> (row_id, prompt, responses). The file is read in byte ranges."""
+    parsed = F.from_json("element", T.MapType(T.StringType(), T.ArrayType(T.StringType())))
+    e = F.element_at(F.map_entries(parsed), 1)
+    return json_array_elements(spark, path).select("row_id", e["key"].alias("prompt"), e["value"].alias("responses"))
 
 
 def write_selection(df: DataFrame, root: str, data_set: str, sample_type: str, n: int, seed: int,
