@@ -296,6 +296,8 @@ def link_in_rounds(groups: DataFrame, sets: DataFrame, num: int, den: int) -> Da
 
 #: Shingles and members of the largest field that is linked in memory, and shingles of a block.
 FIELD_SHINGLES, FIELD_MEMBERS, BLOCK_SHINGLES = 4_000_000, 16_384, 2_000_000
+#: Texts of a block that are shingled at once.
+BLOCK_TEXTS = 64
 
 
 def linked_in_memory(reps: np.ndarray, sets: list, num: int, den: int) -> np.ndarray:
@@ -333,12 +335,18 @@ def linked_in_memory(reps: np.ndarray, sets: list, num: int, den: int) -> np.nda
 def _block_rows(k: int, num: int, den: int):
     """(node, comp) of the texts of a block, field by field."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        values, offsets = shingle_sets(pdf["text"].tolist(), k)
+        rows = pdf.pop("text").tolist()
+        sets: list = []
+        while rows:                                  # a few texts at a time: shingling takes many times the set's bytes
+            some = [rows.pop() for _ in range(min(BLOCK_TEXTS, len(rows)))]
+            values, offsets = shingle_sets(some, k)
+            sets += [values[a:z] for a, z in zip(offsets[:-1], offsets[1:])]
+        sets.reverse()
         reps, fields = pdf["rep"].to_numpy(np.int64), pdf["field"].to_numpy(np.int64)
         comp = np.empty(len(reps), np.int64)
         order = np.argsort(fields, kind="stable")
         for at in np.split(order, np.flatnonzero(np.diff(fields[order])) + 1):
-            comp[at] = linked_in_memory(reps[at], [values[offsets[i]:offsets[i + 1]] for i in at], num, den)
+            comp[at] = linked_in_memory(reps[at], [sets[i] for i in at], num, den)
         return pd.DataFrame({"node": reps, "comp": comp}).drop_duplicates()
     return run
 
