@@ -11,7 +11,7 @@ import hashlib
 import json
 from typing import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -93,6 +93,22 @@ def read_selections(spark: SparkSession, root: str, validation: bool = False) ->
     return spark.read.option("basePath", base).parquet(base)
 
 
+def read_named_results(spark: SparkSession, root: str) -> DataFrame:
+    """S15 / F9 by file name: the JSON string arrays ``root/<data_set>/<name>.json`` as one table
+    (data_set, name, size, seed, row_id, text). ``size`` is the first number between underscores (or at the end) of
+    the name, ``seed`` the number at its end if that is a later one; null where a name has none."""
+    file = F.col("file")
+    name = F.regexp_extract(file, r"([^/]+)\.json$", 1)
+
+    def number(pattern: str) -> Column:
+        return F.nullif(F.regexp_extract(name, pattern, 1), F.lit("")).cast("int")
+
+    parsed = F.from_json(F.concat(F.lit("["), F.col("element"), F.lit("]")), T.ArrayType(T.StringType()))
+    return json_array_elements(spark, root.rstrip("/") + "/*/*.json").select(
+        F.regexp_extract(file, r"([^/]+)/[^/]+$", 1).alias("data_set"), name.alias("name"),
+        number(r"_([0-9]{1,9})(?:_|$)").alias("size"), number(r"_[0-9]{1,9}_(?:.*_)?([0-9]{1,9})$").alias("seed"), "row_id", parsed[0].alias("text"))
+
+
 def available_sizes(selections: DataFrame) -> DataFrame:
     """Distinct sizes, sorted."""
     return selections.select("n").distinct().orderBy("n")
