@@ -44,11 +44,12 @@ def word_features(word: bytes) -> list:
 
 
 def figures(words: list) -> list:
-    """(feature, value) of a text's repetition: equal neighbours, distinct words, word length."""
+    """(feature, value) of a text's repetition: equal neighbours, distinct words in runs of 200, word length."""
     n = len(words)
+    distinct = sum(len(set(words[i:i + 200])) for i in range(0, n, 200)) / n
     same = sum(a == b for a, b in zip(words, words[1:])) / n
     return [(bucket(f"{name}{int(min(v, 0.999) * 10)}", DIMS), float(n)) for name, v in
-            (("same", same), ("distinct", min(1.0, len(set(words)) / min(n, 200))), ("length", sum(map(len, words)) / n / 40))]
+            (("same", same), ("distinct", distinct), ("length", sum(map(len, words)) / n / 40))]
 
 
 def text_features(text: bytes | None) -> tuple:
