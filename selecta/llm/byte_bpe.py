@@ -36,7 +36,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from selecta.llm.common import CACHE_WORDS, bounded_batches, byte_rows, stage, texts
+from selecta.llm.common import CACHE_WORDS, bounded_batches, byte_rows, lean, stage, texts
 
 CHUNK = 32_768                      # characters
 OVERLAP = 2_048
@@ -132,6 +132,7 @@ def _id_arrays(rows: list) -> pa.Array:
 
 
 def _encode_batches(shared, keys: list):
+    @lean
     def run(batches):
         ids, pattern = _encoder(shared)
         for b in batches:
@@ -162,6 +163,7 @@ def borders(text: str, start: int, last: bool, chunk: int, overlap: int, pattern
 
 
 def _split(chunk: int, overlap: int):
+    @lean
     def run(batches):
         for b in batches:
             for key, text in zip(b.column("key").to_pylist(), b.column("text").to_pylist()):
@@ -176,6 +178,7 @@ def _split(chunk: int, overlap: int):
 
 
 def _pretokenise(shared, chunk: int, overlap: int):
+    @lean
     def run(batches):
         _, pattern = _encoder(shared)
         for b in batches:
@@ -268,6 +271,7 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids") ->
     bounded_batches(encoded.sparkSession)
     schema = encoded.withColumn("data", F.lit(b"")).schema
 
+    @lean
     def run(batches):
         table, _ = _tables(shared)
         for b in batches:
@@ -282,6 +286,7 @@ def digests(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     ids in decimal, comma-joined, and of the bytes that they decode to."""
     shared = vocabulary.shared
 
+    @lean
     def run(batches):
         table, digits = _tables(shared)
         for b in batches:

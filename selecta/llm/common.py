@@ -11,6 +11,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import uuid
 
@@ -59,6 +60,38 @@ def free(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def give_back() -> None:
+    """Return memory that this process has freed to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:                            # not glibc
+        pass
+
+
+def lean(run):
+    """``run`` of mapInArrow, whose worker gives freed memory back when the task ends.
+
+    Spark keeps idle workers for the next tasks; what they hold on to would count against
+    the executor through later stages that need the room."""
+    def rows(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+    return rows
+
+
+def lean_group(run):
+    """As :func:`lean` for a function of applyInPandas, after each group."""
+    def rows(pdf):
+        try:
+            return run(pdf)
+        finally:
+            give_back()
+    return rows
+
+
 def byte_rows(column: pa.Array) -> list:
     """The column's texts as UTF-8 bytes (None for null)."""
     return column.cast(pa.binary()).to_pylist()

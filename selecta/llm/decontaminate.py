@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from selecta.llm.common import bounded_batches, byte_rows, texts
+from selecta.llm.common import bounded_batches, byte_rows, lean, texts
 
 WIDTH = 10
 SLICE_WORDS = 500_000
@@ -119,6 +119,7 @@ def _merge(old: list | None, new: list) -> list:
 
 
 def _pass(shared):
+    @lean
     def run(batches):
         vocabulary, automaton = _automaton(shared)
         for b in batches:
@@ -203,6 +204,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH,
     at = docs.columns.index(text_col)
 
     def clean(shared):
+        @lean
         def run(batches):
             vocabulary, automaton = _automaton(shared)
             for b in batches:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from selecta.llm.common import U64, byte_rows, mix, stage, texts
+from selecta.llm.common import U64, byte_rows, lean, mix, stage, texts
 
 #: Chunk sizes in bytes: the least, the mean beyond it (a power of two), the most.
 LEAST, MEAN, MOST = 256, 1024, 8192
@@ -80,6 +80,7 @@ def chunks(text: bytes) -> list:
 
 def chunk_table(docs: DataFrame) -> DataFrame:
     """(h, chunk) of every chunk of (doc_id, text) rows."""
+    @lean
     def run(batches):
         for b in batches:
             parts = [c for t in byte_rows(b.column("text")) for c in chunks(normalise(t))]
@@ -98,6 +99,7 @@ def unverified_hashes(docs: DataFrame) -> DataFrame:
 
 def recipes(docs: DataFrame, unverified: DataFrame) -> DataFrame:
     """(doc_id, recipe binary, text_sha256): verified identifiers in order."""
+    @lean
     def run(batches):
         for b in batches:
             recipe, digest = [], []
@@ -118,6 +120,7 @@ def _with_second_halves(docs: DataFrame, unverified: DataFrame) -> DataFrame:
     """The recipes when some hash is unverified: those chunks' identifiers also
     hold the SHA-256 of their bytes. One row per chunk, so nothing is collected
     but a document's own recipe."""
+    @lean
     def run(batches):
         for b in batches:
             for key, doc, t in zip(b.column("key").to_pylist(), b.column("doc_id").to_pylist(), byte_rows(b.column("text"))):

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from selecta.llm.common import U64, byte_rows, free, mix, partitions_for, stage, with_maybe
+from selecta.llm.common import U64, byte_rows, free, lean, lean_group, mix, partitions_for, stage, with_maybe
 from selecta.llm.shingles import SALT, shingle_sets
 
 
@@ -51,6 +51,7 @@ def may_link(a: bytes, b: bytes, na: int, nb: int, num: int, den: int) -> bool:
 def _paired(pairs: DataFrame, table: DataFrame, columns: list, test, name: str) -> DataFrame:
     """``pairs`` (a, b) with the boolean column ``name``: test(*columns of a, *columns of b). A row of ``table``
     has the key rep; only the rows of ids in pairs are shuffled."""
+    @lean
     def run(batches):
         for b in batches:
             sides = [b.column(f"{side}{c}").to_pylist() for side in "ab" for c in columns]
@@ -93,6 +94,7 @@ def find(parent: dict, x):
 def forest(edges: DataFrame) -> DataFrame:
     """Edges (a, b) with the same components as ``edges``: each task joins its edges by union-find
     and gives one edge (root, node) for each node; the root is the smallest node it has seen."""
+    @lean
     def run(batches):
         parent: dict = {}
 
@@ -199,6 +201,7 @@ def near_pairs(a: dict, b: dict, same: bool, num: int, den: int) -> np.ndarray:
 
 def _near_rows(num: int, den: int):
     """Pairs (a, b) of each tile pair (grp, lo, hi) of a bucket."""
+    @lean_group
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["grp", "lo", "hi"], kind="stable")
         keys = pdf[["grp", "lo", "hi"]].to_numpy()
@@ -233,6 +236,7 @@ def remaining_pairs(rows: DataFrame, sets: DataFrame, num: int, den: int) -> Dat
 
 def set_rows(texts: DataFrame, k: int, keep: list) -> DataFrame:
     """(rep, n, set, sketch) of every row (rep, text); ``keep`` names further long columns that stay."""
+    @lean
     def run(batches):
         for b in batches:
             values, offsets = shingle_sets(byte_rows(b.column("text")), k)
@@ -334,6 +338,7 @@ def linked_in_memory(reps: np.ndarray, sets: list, num: int, den: int) -> np.nda
 
 def _block_rows(k: int, num: int, den: int):
     """(node, comp) of the texts of a block, field by field."""
+    @lean_group
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = pdf.pop("text").tolist()
         sets: list = []

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from selecta.llm.common import bounded_batches, byte_rows, texts
+from selecta.llm.common import bounded_batches, byte_rows, lean, texts
 from selecta.llm.hashed_text import WordScores, adam, bucket, counted, dense, labelled_sample, sample_rows
 
 DIMS = 1 << 12
@@ -125,6 +125,7 @@ def score(docs: DataFrame, model: Ordinal, least: int = 1, id_col: str = "doc_id
     """(doc_id, expected_grade, p_tail, keep): keep where P(grade >= least) is 0.5 or more."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @lean
     def run(batches):
         held = shared.value
         scores = WordScores(word_features, held.weights[:, None])
@@ -144,6 +145,7 @@ def keep_good(docs: DataFrame, model: Ordinal, least: int = 1, text_col: str = "
     bounded_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
 
+    @lean
     def run(batches):
         held = shared.value
         scores = WordScores(word_features, held.weights[:, None])

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from selecta.llm.common import U64, byte_rows, by_bucket, free, mix, partitions_for, stage, texts
+from selecta.llm.common import U64, by_bucket, byte_rows, free, lean, lean_group, mix, partitions_for, stage, texts
 from selecta.llm.linked_groups import components, linked_groups
 from selecta.llm.shingles import SALT, prints, shingle_sets
 
@@ -113,6 +113,7 @@ def segment_keys(values: np.ndarray, sizes: np.ndarray, num: int, den: int) -> t
 
 
 def _set_rows(k: int):
+    @lean
     def run(batches):
         for b in batches:
             values, offsets = shingle_sets(byte_rows(b.column("text")), k)
@@ -124,6 +125,7 @@ def _set_rows(k: int):
 
 def _sketch_rows(k: int, num: int, den: int, n: int):
     """Segment records of the distinct sets of each batch, dealt by key."""
+    @lean
     def run(batches):
         for b in batches:
             values, offsets = shingle_sets(byte_rows(b.column("text")), k)
@@ -150,6 +152,7 @@ def _sketch_rows(k: int, num: int, den: int, n: int):
 
 def _candidate_groups(num: int, den: int):
     """Groups (grp, node, size) of sets that agree in a segment, one for each distinct membership."""
+    @lean_group
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         keys = np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["key"]])
         nodes = np.concatenate([np.frombuffer(x, np.int64)[np.frombuffer(a, np.uint16)] for x, a in zip(pdf["node"], pdf["at"])])
