@@ -54,6 +54,20 @@ def dedup(df: DataFrame, per_source: bool = True) -> DataFrame:
     return df.dropDuplicates(list(CANONICAL)) if per_source else df.distinct()
 
 
+def dedup_shape(df: DataFrame) -> DataFrame:
+    """A4: one row (rows_before, rows_after, distinct_sentences) from one pass over ``df``.
+
+    The rows are counted per distinct row, as dedup groups them, then per distinct text; partial counts
+    combine before each shuffle. Counts that are observed on the side (accumulators) would
+    count the rows of a map task again that is run again after its executor is lost; these do not.
+    """
+    rows = df.groupBy(*CANONICAL).agg(F.count(F.lit(1)).alias("n"))
+    per_text = rows.groupBy(sentence_key(rows).alias("sentences")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kept"))
+    return per_text.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("rows_before"),
+                        F.coalesce(F.sum("kept"), F.lit(0)).cast("long").alias("rows_after"),
+                        F.count("sentences").alias("distinct_sentences"))
+
+
 def sentence_key(df: DataFrame, safe: bool = False) -> Column:
     """instruction+input+output without separator (reference key), or a
     collision-safe struct key."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from selecta.operators.harmonize import (
-    dedup, duplicate_sources, filter_sources, harmonize, source_counts, union_sources,
+    dedup, dedup_shape, duplicate_sources, filter_sources, harmonize, source_counts, union_sources,
 )
 from selecta.plans.registry import query
 from selecta.plans.sqlbits import PAIRS, with_
@@ -76,12 +76,8 @@ def q_dup_sources(spark, sf_dir):
 SELECT (SELECT count(*) FROM corpus) AS rows_before, (SELECT count(*) FROM (SELECT DISTINCT * FROM corpus)) AS rows_after,
        (SELECT count(DISTINCT instruction || input || output) FROM corpus) AS distinct_sentences""")
 def q_dedup_before_after(spark, sf_dir):
-    """A4: shape before / after, one pass each, as one row."""
-    c = corpus(spark, sf_dir)
-    before = c.agg(F.count(F.lit(1)).alias("rows_before"),
-                   F.count_distinct(F.concat("instruction", "input", "output")).alias("distinct_sentences"))
-    after = dedup(c, per_source=False).agg(F.count(F.lit(1)).alias("rows_after"))
-    return before.crossJoin(after).select("rows_before", "rows_after", "distinct_sentences")
+    """A4: shape before / after as one row, from one pass over the corpus."""
+    return dedup_shape(corpus(spark, sf_dir))
 
 
 @query("include_sources", oracle=with_(CORPUS) + """
