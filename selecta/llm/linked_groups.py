@@ -117,15 +117,44 @@ def forest(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").mapInArrow(run, "a long, b long")
 
 
+def thinned(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) with the same components as ``edges``, twice joined by union-find. Written.
+
+    A node of a large component has an edge from every task that saw it, so the edges that tasks are left with are
+    dealt anew to as few tasks as hold ``FOREST`` of them each: one such task leaves one edge a node."""
+    less = stage(forest(edges).distinct(), "forest")
+    out = stage(forest(less.coalesce(max(1, -(-less.count() // FOREST)))), "forest")
+    free(less)
+    return out
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp): the smallest node of each component of the edges (a, b). Written.
 
-    Tasks first join what they can by union-find. Then labels spread along edges and jump to the
+    Tasks first join what they can by union-find (:func:`thinned`). A node with one edge has its neighbour's
+    component, so the rounds are run by the others alone: labels spread along their edges and jump to the
     label of their label; rounds grow with the logarithm of the longest path. Each round is
     written to the shared folder, and the one before it is deleted.
     """
-    less = forest(edges)
-    both = stage(less.unionByName(less.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    less = thinned(edges)
+    seen = less.select(F.col("b").alias("node"), F.lit(1).alias("n")).unionByName(less.select(F.col("a").alias("node"), F.lit(2).alias("n")))
+    once = seen.groupBy("node").agg(F.sum("n").alias("n")).filter("n = 1").select("node", F.lit(True).alias("leaf"))
+    told = stage(less.join(once, less["b"] == once["node"], "left").select("a", "b", F.coalesce("leaf", F.lit(False)).alias("leaf")), "told")
+    free(less)
+    core, leaves = told.filter("NOT leaf").select("a", "b"), told.filter("leaf").select(F.col("a").alias("at"), "b")
+    both = stage(core.unionByName(core.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    label = _spread(both)
+    free(both)
+    kept = label.select("node", "comp")
+    alone = leaves.select(F.col("at").alias("node")).distinct().join(kept, "node", "left_anti").select("node", F.col("node").alias("comp"))
+    tips = leaves.join(kept, leaves["at"] == kept["node"], "left").select(F.col("b").alias("node"), F.coalesce("comp", "at").alias("comp"))
+    out = stage(kept.unionByName(alone).unionByName(tips), "components")
+    free(label, told)
+    return out
+
+
+def _spread(both: DataFrame) -> DataFrame:
+    """(node, old, comp) of the edges (a, b), given in both directions. Written."""
     label = stage(both.groupBy("a").agg(F.min("b").alias("m"))
                   .select(F.col("a").alias("node"), F.lit(None).cast("long").alias("old"), F.least("a", "m").alias("comp")), "labels")
     while True:
@@ -136,7 +165,6 @@ def components(edges: DataFrame) -> DataFrame:
         then = stage(near.join(parent, near["comp"] == parent["pn"]).select("node", "old", F.least("comp", "pc").alias("comp")), "labels")
         free(near, label)
         if then.filter(F.col("old") != F.col("comp")).isEmpty():
-            free(both)
             return then
         label = then
 
