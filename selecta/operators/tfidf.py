@@ -5,11 +5,10 @@ tf * (ln((1 + N) / (1 + df)) + 1) scaled to length 1. There is no dimension to
 choose and no bucket that unlike words share. Sums are taken in fixed point, so
 that weights do not depend on the partitioning.
 
-Plan: document frequencies are counted over distinct (row, token) pairs with
-partial aggregation. The lookup of a token's frequency is salted by the row, so
-a token that every text holds spreads over ``SALTS`` keys. A vector is gathered
-per row and is as long as the text has distinct tokens. Cosines and centroids stay
-in long form; dots with centroids join on label and token, salted likewise.
+Plan: texts are kept in blocks (:mod:`selecta.operators.blocks`), and a token's
+frequency is looked up once a block that holds it, so no entry of a vector is
+shuffled by its token. Vectors stay in blocks until they are returned, and so
+do the dots with centroids, whose weights are looked up by label and token.
 
 Defined results: null and blank texts have empty vectors, whose cosine with
 anything is 0. A token outside the fitted corpus has df 0.
@@ -17,29 +16,23 @@ anything is 0. A token outside the fitted corpus has df 0.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from selecta.functions.text import tokens
+from selecta.llm.common import bounded_batches, lean, stage
+from selecta.operators.blocks import Block, fixed, packed, places, ranged, text_counts, with_values
 from selecta.operators.joins import one_row
 
-SALTS = 16
 FIXED = 1e12
+_WORDS, _WEIGHTS = pa.list_(pa.string()), pa.list_(pa.float64())
 
 
-def _salt(*by: str) -> Column:
-    return F.pmod(F.xxhash64(*by), F.lit(SALTS))
-
-
-def _copied(small: DataFrame) -> DataFrame:
-    return small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-
-
-def _counts(df: DataFrame, keys: list[str], text: str, task: str | None) -> DataFrame:
-    """(keys, token, tf); ``task`` is M2's description, whose words come before those of every text that is not null."""
-    body = F.col(text) if task is None else F.concat(F.lit(task + " "), F.col(text))
-    return (df.select(*keys, F.explode(tokens(F.coalesce(body, F.lit("")))).alias("token"))
-            .groupBy(*keys, "token").agg(F.count(F.lit(1)).alias("tf")))
+def _schema(blocks: DataFrame, keys: list[str], *more) -> T.StructType:
+    return T.StructType([T.StructField(k, blocks.schema[k].dataType.elementType) for k in keys] + [T.StructField(n, t) for n, t in more])
 
 
 class TfIdf:
@@ -50,54 +43,150 @@ class TfIdf:
 
     @classmethod
     def fit(cls, corpus: DataFrame, keys: list[str], text: str = "text", task: str | None = None) -> "TfIdf":
-        """Frequencies over the texts of ``corpus``; ``keys`` identify a row."""
-        df = _counts(corpus, keys, text, task).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+        """Frequencies over the texts of ``corpus``; ``keys`` identify a row. ``task`` is M2's description,
+        whose words come before those of every text that is not null."""
+        df = stage(text_counts(corpus, keys, text, lead=task).toDF("token", "df"), "frequencies")
         return cls(df, corpus.agg(F.count(F.lit(1)).alias("_n")), task)
 
-    def weights(self, df: DataFrame, keys: list[str], text: str) -> DataFrame:
-        """(keys, token, weight): the entries of the vectors, not yet scaled."""
-        per = _counts(df, keys, text, self.task).withColumn("_salt", _salt(*keys))
-        j = per.join(_copied(self.frequencies), ["token", "_salt"], "left").crossJoin(one_row(self.total))
+    def _weighed(self, df: DataFrame, keys: list[str], text: str, run, schema) -> DataFrame:
+        """``run(Block, idf of its terms, norm of each text)`` of the blocks of ``df``."""
+        blocks = packed(df, keys, text, lead=self.task)
+        j = places(blocks, "token").join(self.frequencies, "token", "left").crossJoin(one_row(self.total))
         idf = F.log((1 + F.col("_n")) / (1 + F.coalesce(F.col("df"), F.lit(0)))) + 1
-        return j.select(*keys, "token", (F.col("tf") * idf).alias("weight"))
 
-    def units(self, df: DataFrame, keys: list[str], text: str) -> DataFrame:
-        """(keys, token, weight): the entries of the unit vectors."""
-        square = F.round(F.col("weight") * F.col("weight") * FIXED).cast("decimal(38,0)")
-        norm = F.sqrt(F.sum(square).over(Window.partitionBy(*keys)).cast("double") / FIXED)
-        return self.weights(df, keys, text).select(*keys, "token", (F.col("weight") / norm).alias("weight"))
+        def weigh(block: Block, found: pa.Table) -> pa.Table:
+            values = ranged(found, "idf", len(block.list("terms")))
+            weight = block.counts * values[block.index]
+            norms = np.sqrt(np.array([float(s) for s in block.sums(fixed(weight * weight, FIXED))]) / FIXED)
+            return run(block, values, norms)
 
-    def encode(self, df: DataFrame, keys: list[str], text: str) -> DataFrame:
-        """(keys, terms, weights): one unit vector a row, tokens in order; rows with blank text have empty arrays."""
-        rows = self.units(df, keys, text).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("token", "weight"))).alias("_e"))
-        return df.select(*keys).join(rows, keys, "left").select(
-            *keys, F.coalesce("_e.token", F.array().cast("array<string>")).alias("terms"),
-            F.coalesce("_e.weight", F.array().cast("array<double>")).alias("weights"))
+        return with_values(blocks, j.select("block", "pos", idf.alias("idf")), weigh, schema(blocks))
 
+    def units(self, df: DataFrame, keys: list[str], text: str) -> "Vectors":
+        """The unit vectors, one for each key."""
+        def run(block: Block, idf: np.ndarray, norms: np.ndarray) -> pa.Table:
+            return pa.table({**block.columns, "idf": pa.array([idf], _WEIGHTS), "norms": pa.array([norms], _WEIGHTS)})
 
-def _dot(x: Column) -> Column:
-    return F.sum(F.round(x * FIXED).cast("decimal(38,0)")).cast("double") / FIXED
+        numbers = T.ArrayType(T.DoubleType())
+        out = self._weighed(df, keys, text, run, lambda blocks: T.StructType([
+            *blocks.schema.fields, T.StructField("idf", numbers), T.StructField("norms", numbers)]))
+        return Vectors(stage(out, "vectors"), keys)
 
-
-def cosines(rows: DataFrame, keys: list[str], a: DataFrame, b: DataFrame) -> DataFrame:
-    """(keys, cosine) of the unit vectors ``a`` and ``b`` of each row, both (keys, token, weight)."""
-    j = a.join(b.withColumnRenamed("weight", "_b"), [*keys, "token"])
-    dots = j.groupBy(*keys).agg(_dot(F.col("weight") * F.col("_b")).alias("cosine"))
+    def encode(self, df: DataFrame, keys: list[str], text: str) -> DataFrame:
+        """(keys, terms, weights): one unit vector a row, tokens in order; rows with blank text have empty arrays."""
+        def run(block: Block, idf: np.ndarray, norms: np.ndarray) -> pa.Table:
+            rows = np.repeat(np.arange(len(norms)), block.list("copies").to_numpy(zero_copy_only=False))
+            return _rows(block, keys, block.counts * idf[block.index] / norms[block.row], rows, nameless=True)
+
+        return self._weighed(df, keys, text, run, lambda blocks: _schema(
+            blocks, keys, ("terms", T.ArrayType(T.StringType())), ("weights", T.ArrayType(T.DoubleType()))))
+
+
+def _rows(block: Block, keys: list[str], weight: np.ndarray, rows: np.ndarray, nameless: bool = False) -> pa.Table:
+    """(keys, terms, weights) of texts of a block. ``nameless``: those with a null key get an empty vector, as no key equals null."""
+    offsets = pa.array(np.concatenate([[0], block.ends]).astype(np.int32))
+    ids = [block.list(k) for k in keys]
+    terms = pa.ListArray.from_arrays(offsets, block.list("terms").take(pa.array(block.index)))
+    weights = pa.ListArray.from_arrays(offsets, pa.array(weight))
+    at = pa.array(rows)
+    if nameless and any(k.null_count for k in ids):
+        known = np.all([k.is_valid().to_numpy(zero_copy_only=False) for k in ids], axis=0)
+        at_known = pa.array(rows, mask=~known[rows])
+        terms, weights = terms.take(at_known).fill_null(pa.scalar([], _WORDS)), weights.take(at_known).fill_null(pa.scalar([], _WEIGHTS))
+    else:
+        terms, weights = terms.take(at), weights.take(at)
+    return pa.table([*(k.take(at) for k in ids), terms, weights], [*keys, "terms", "weights"])
+
+
+class Vectors:
+    """Unit vectors in blocks: an entry weighs count * idf of its term / norm of its text."""
+
+    def __init__(self, blocks: DataFrame, keys: list[str]):
+        self.blocks, self.keys = blocks, keys
+
+    def map(self, run, schema) -> DataFrame:
+        """``run(Block, weights of its entries)`` -> Arrow table of every block."""
+        def each(batches):
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    block = Block(batch, i)
+                    yield from run(block, _unit(block)).to_batches()
+
+        bounded_batches(self.blocks.sparkSession)
+        return self.blocks.mapInArrow(lean(each), schema)
+
+    def rows(self) -> DataFrame:
+        """(keys, terms, weights): one vector a key."""
+        keys = self.keys
+        return self.map(lambda block, weight: _rows(block, keys, weight, np.arange(len(block.sizes))), _schema(
+            self.blocks, keys, ("terms", T.ArrayType(T.StringType())), ("weights", T.ArrayType(T.DoubleType()))))
+
+
+def _unit(block: Block) -> np.ndarray:
+    idf, norms = (block.list(n).to_numpy(zero_copy_only=False) for n in ("idf", "norms"))
+    return block.counts * idf[block.index] / norms[block.row]
+
+
+@F.pandas_udf(T.DoubleType())
+def _dots(ta, wa, tb, wb):
+    import pandas as pd
+    out = []
+    for a, x, b, y in zip(ta, wa, tb, wb):
+        other = dict(zip(b, y))
+        both = np.array([(v, other[t]) for t, v in zip(a, x) if t in other]).reshape(-1, 2)
+        out.append(float(int(fixed(both[:, 0] * both[:, 1], FIXED).astype(np.int64).sum())) / FIXED)
+    return pd.Series(out, dtype="float64")
+
+
+def cosines(rows: DataFrame, keys: list[str], a: Vectors, b: Vectors) -> DataFrame:
+    """(keys, cosine) of the unit vectors ``a`` and ``b`` of each row."""
+    j = a.rows().join(b.rows().withColumnsRenamed({"terms": "_t", "weights": "_w"}), keys)
+    dots = j.select(*keys, _dots("terms", "weights", "_t", "_w").alias("cosine"))
     return rows.select(*keys).join(dots, keys, "left").select(*keys, F.coalesce("cosine", F.lit(0.0)).alias("cosine"))
 
 
-def sparse_centroids(entries: DataFrame, label: str, sizes: DataFrame) -> DataFrame:
-    """(label, token, weight): mean unit vector of each label in long form. ``entries`` is (keys, label, token, weight),
-    ``sizes`` is (label, n). Sums are by label and token with partial aggregation, so a label of any size is summed by many tasks."""
-    fixed = F.round(F.col("weight") * FIXED).cast("decimal(38,0)")
-    sums = entries.groupBy(label, "token").agg(F.sum(fixed).alias("_s"))
+def sparse_centroids(entries: Vectors, label: str, sizes: DataFrame) -> DataFrame:
+    """(label, token, weight): mean unit vector of each label in long form. ``label`` is one of the keys of ``entries``,
+    ``sizes`` is (label, n). A block's sums by label and token are taken first, so a label of any size is summed by many tasks."""
+    def run(block: Block, weight: np.ndarray) -> pa.Table:
+        kinds, code = _labels(block, label)
+        slot, inverse = np.unique(code[block.row] * len(block.list("terms")) + block.index, return_inverse=True)
+        sums = np.zeros(len(slot), np.int64)
+        np.add.at(sums, inverse, fixed(weight, FIXED).astype(np.int64))
+        n = max(len(block.list("terms")), 1)
+        return pa.table([kinds.take(pa.array(slot // n)), block.list("terms").take(pa.array(slot % n)), pa.array(sums)], [label, "token", "_p"])
+
+    kind = entries.blocks.schema[label].dataType.elementType
+    part = entries.map(run, T.StructType([T.StructField(label, kind), T.StructField("token", T.StringType()), T.StructField("_p", T.LongType())]))
+    sums = part.groupBy(label, "token").agg(F.sum(F.col("_p").cast("decimal(38,0)")).alias("_s"))
     return sums.join(sizes, label).select(label, "token", (F.col("_s").cast("double") / FIXED / F.col("n")).alias("weight"))
 
 
-def centroid_cosines(entries: DataFrame, keys: list[str], label: str, centroids: DataFrame) -> DataFrame:
+def _labels(block: Block, label: str) -> tuple[pa.Array, np.ndarray]:
+    """The distinct labels of a block, and which of them each text has."""
+    coded = block.list(label).dictionary_encode(null_encoding="encode")
+    return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def centroid_cosines(entries: Vectors, keys: list[str], label: str, centroids: DataFrame) -> DataFrame:
     """(keys, cosine): cosine of each unit vector with the centroid of its own label."""
-    fixed = F.round(F.col("weight") * F.col("weight") * FIXED).cast("decimal(38,0)")
-    norms = centroids.groupBy(label).agg(F.sqrt(F.sum(fixed).cast("double") / FIXED).alias("_norm"))
-    c = _copied(centroids.join(norms, label).select(label, "token", (F.col("weight") / F.col("_norm")).alias("_c")))
-    j = entries.withColumn("_salt", _salt(*keys)).join(c, [label, "token", "_salt"])
-    return j.groupBy(*keys).agg(_dot(F.col("weight") * F.col("_c")).alias("cosine"))
+    square = F.round(F.col("weight") * F.col("weight") * FIXED).cast("decimal(38,0)")
+    norms = centroids.groupBy(label).agg(F.sqrt(F.sum(square).cast("double") / FIXED).alias("_norm"))
+    c = centroids.join(norms, label).select(label, "token", (F.col("weight") / F.col("_norm")).alias("_c"))
+    asked = entries.blocks.select("block", "terms", F.explode(F.array_distinct(label)).alias(label))
+    found = asked.select("block", label, F.posexplode("terms").alias("pos", "token")).join(c, [label, "token"]).select("block", label, "pos", "_c")
+
+    def run(block: Block, values: pa.Table) -> pa.Table:
+        kinds, code = _labels(block, label)
+        n = len(block.list("terms"))
+        center = np.full((len(kinds), max(n, 1)), np.nan)
+        mine = pa.compute.index_in(values.column(label), kinds).to_numpy()
+        center[mine, values.column("pos").to_numpy()] = values.column("_c").to_numpy()
+        near = center[code[block.row], block.index]
+        has = ~np.isnan(near)                                 # a null label has no centroid
+        sums = block.sums(np.where(has, fixed(_unit(block) * np.where(has, near, 0.0), FIXED), 0.0))
+        rows = np.flatnonzero(np.bincount(block.row[has], minlength=len(block.sizes)))
+        at = pa.array(rows)
+        return pa.table([*(block.list(k).take(at) for k in keys), pa.array([sums[i] / FIXED for i in rows], pa.float64())], [*keys, "cosine"])
+
+    return with_values(entries.blocks, found, run, _schema(entries.blocks, keys, ("cosine", T.DoubleType())))
