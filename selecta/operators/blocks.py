@@ -185,10 +185,13 @@ def text_sums(blocks: DataFrame, values: DataFrame, keys: list[str]) -> DataFram
     """(keys, _s, _n): sum of count * value over the items of each key, and its number of items. ``values`` is
     (block, pos, value), whole numbers; keys without an item are left out."""
     def run(block: Block, found: pa.Table) -> pa.Table:
-        value = ranged(found, "value", len(block.list("terms")))
         at = pa.array(np.flatnonzero(block.sizes))
-        sums = [block.sums(x) for x in (block.counts * value[block.index].astype(np.int64), block.counts)]
-        return pa.table([*(block.list(k).take(at) for k in keys), *(pa.array(s, pa.int64()).take(at) for s in sums)], [*keys, "_s", "_n"])
+        if found.column("value").null_count:                  # nothing is known: no corpus
+            total = pa.nulls(len(block.sizes), pa.int64())
+        else:
+            value = ranged(found, "value", len(block.list("terms"))).astype(np.int64)
+            total = pa.array(block.sums(block.counts * value[block.index]), pa.int64())
+        return pa.table([*(block.list(k).take(at) for k in keys), total.take(at), pa.array(block.sums(block.counts), pa.int64()).take(at)], [*keys, "_s", "_n"])
 
     fields = [T.StructField(k, blocks.schema[k].dataType.elementType) for k in keys]
     return with_values(blocks, values, run, T.StructType([*fields, T.StructField("_s", T.LongType()), T.StructField("_n", T.LongType())]))

@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from selecta.functions.text import bigrams, dummy_fill, tokens
+from selecta.functions.text import bigrams, dummy_fill
+from selecta.operators.blocks import item_counts, packed, places, text_sums
 from selecta.operators.joins import one_row
 
 FIXED_POINT = 1e9
@@ -66,8 +67,7 @@ class UnigramLM:
 
     @classmethod
     def fit(cls, corpus: DataFrame, text: str = "text", k: float = 1.0) -> "UnigramLM":
-        toks = corpus.select(F.explode(tokens(F.coalesce(_c(text), F.lit("")))).alias("token"))
-        return cls(toks.groupBy("token").agg(F.count(F.lit(1)).alias("c")), k)
+        return cls(item_counts(corpus, text).withColumnRenamed("item", "token"), k)
 
     def log_prob(self, c: Column) -> Column:
         k = F.lit(self.k)
@@ -77,17 +77,15 @@ class UnigramLM:
 def perplexity(df: DataFrame, lm: UnigramLM, text: str, keys: list[str], out: str = "perp") -> DataFrame:
     """M3: exp(-mean log p) per text (Q10: blank text scored as 'dummy string').
 
-    Tokens are pre-aggregated per (text, token) before the join to the
-    vocabulary, so a hot token costs one row per text, not one per use. The
-    vocabulary join is left to AQE: broadcast when the runtime size of the
+    Texts are kept in blocks (:mod:`selecta.operators.blocks`): a token's
+    probability is looked up once a block, so a hot token costs one row a block.
+    The vocabulary join is left to AQE: broadcast when the runtime size of the
     vocabulary is under the threshold, else a shuffle join on token whose
     skewed partitions AQE splits.
     """
-    toks = df.select(*keys, F.explode(tokens(dummy_fill(_c(text)))).alias("token"))
-    per = toks.groupBy(*keys, "token").agg(F.count(F.lit(1)).alias("cnt"))
-    j = per.join(lm.counts, "token", "left").crossJoin(one_row(lm.totals))
-    fixed = F.round(lm.log_prob(F.col("c")) * FIXED_POINT).cast("long") * F.col("cnt")
-    agg = j.groupBy(*keys).agg(F.sum(fixed).alias("_s"), F.sum("cnt").alias("_n"))
+    blocks = packed(df.withColumn(text, dummy_fill(_c(text))), keys, text)
+    j = places(blocks, "token").join(lm.counts, "token", "left").crossJoin(one_row(lm.totals))
+    agg = text_sums(blocks, j.select("block", "pos", F.round(lm.log_prob(F.col("c")) * FIXED_POINT).cast("long").alias("value")), keys)
     return agg.select(*keys, F.round(F.exp(-(F.col("_s") / FIXED_POINT) / F.col("_n")), 6).alias(out))
 
 

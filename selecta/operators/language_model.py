@@ -7,11 +7,13 @@ distinct bigrams and V the distinct words that follow anything; the slot
 beside the V words is the unseen word. A text begins after the empty word. A
 word u that nothing follows in the corpus backs off to q alone.
 
-Plan: bigrams are counted with partial aggregation. Texts are scored by their
-distinct bigrams, each once for all texts. A context is read by all bigrams
-that begin with it, and a bigram by all texts that hold it; both lookups are
-salted (the small side is copied to ``SALTS`` keys), so that a very common
-word or bigram spreads over that many tasks, which AQE may split further.
+Plan: bigrams are counted within the tasks first, and written once, as all
+tables of the model come from them. Texts are kept in blocks
+(:mod:`selecta.operators.blocks`) and scored by their distinct bigrams, each
+once for all texts and looked up once a block. A context is read by all
+bigrams that begin with it: these are dealt to ``SALTS`` shares, and a share
+asks for each of its contexts once, so that a very common word spreads over
+that many tasks. No table is copied.
 """
 
 from __future__ import annotations
@@ -19,26 +21,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from selecta.functions.core import let
-from selecta.functions.text import dummy_fill, tokens
+from selecta.functions.text import dummy_fill
+from selecta.llm.common import stage
+from selecta.operators.blocks import item_counts, packed, places, text_sums, word_pairs
 from selecta.operators.features import FIXED_POINT
 from selecta.operators.joins import one_row
 
 SALTS = 16
 
 
-def word_pairs(text: Column) -> Column:
-    """array<struct<u, w>>: each word with the word before it; the first follows the empty word."""
-    return let(tokens(text), lambda t: F.zip_with(
-        F.slice(F.concat(F.array(F.lit("")), t), F.lit(1), F.size(t)), t, lambda u, w: F.struct(u.alias("u"), w.alias("w"))))
+def _words(pair: str) -> list[Column]:
+    """u and w of a pair "u w"; words hold no space."""
+    return [F.substring_index(pair, " ", 1).alias("u"), F.substring_index(pair, " ", -1).alias("w")]
 
 
-def _salt(*by: str) -> Column:
-    return F.pmod(F.xxhash64(*by), F.lit(SALTS))
-
-
-def _copied(small: DataFrame) -> DataFrame:
-    return small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+def _asked(wanted: DataFrame, table: DataFrame, word: str, other: str) -> DataFrame:
+    """``wanted`` with the columns of ``table`` for its ``word``, which each share by ``other`` asks for once."""
+    shares = wanted.withColumn("_salt", F.pmod(F.xxhash64(other), F.lit(SALTS)))
+    return shares.join(shares.select(word, "_salt").distinct().join(table, word), [word, "_salt"], "left").drop("_salt")
 
 
 class BigramLM:
@@ -55,15 +55,13 @@ class BigramLM:
 
     @classmethod
     def fit(cls, corpus: DataFrame, text: str = "text", discount: float = 0.75) -> "BigramLM":
-        pairs = corpus.select(F.explode(word_pairs(F.coalesce(F.col(text), F.lit("")))).alias("g"))
-        return cls(pairs.groupBy(F.col("g.u").alias("u"), F.col("g.w").alias("w")).agg(F.count(F.lit(1)).alias("c")), discount)
+        return cls(stage(item_counts(corpus, text, word_pairs).select(*_words("item"), "c"), "grams"), discount)
 
     def log_probs(self, wanted: DataFrame) -> DataFrame:
         """(u, w, logp) in fixed point for distinct bigrams (u, w)."""
         d = F.lit(self.discount)
         j = wanted.join(self.grams, ["u", "w"], "left")
-        j = (j.withColumn("_salt", _salt("w")).join(_copied(self.contexts), ["u", "_salt"], "left")
-             .withColumn("_salt", _salt("u")).join(_copied(self.words), ["w", "_salt"], "left").crossJoin(one_row(self.totals)))
+        j = _asked(_asked(j, self.contexts, "u", "w"), self.words, "w", "u").crossJoin(one_row(self.totals))
         seen = F.greatest(F.coalesce(F.col("before"), F.lit(0)) - d, F.lit(0.0))
         q = F.when(F.col("_b") > 0, (seen + d * F.col("_v") / (F.col("_v") + 1)) / F.col("_b")).otherwise(F.lit(1.0))
         p = F.when(F.col("cu").isNull(), q).otherwise(
@@ -73,9 +71,9 @@ class BigramLM:
 
 def ordered_perplexity(df: DataFrame, lm: BigramLM, text: str, keys: list[str], out: str = "perp") -> DataFrame:
     """(keys, out): exp(-mean log p) of each text; blank text scores as the blank prediction."""
-    pairs = df.select(*keys, F.explode(word_pairs(dummy_fill(F.col(text)))).alias("g"))
-    per = pairs.groupBy(*keys, F.col("g.u").alias("u"), F.col("g.w").alias("w")).agg(F.count(F.lit(1)).alias("cnt"))
-    scored = lm.log_probs(per.select("u", "w").distinct())
-    j = per.withColumn("_salt", _salt(*keys)).join(_copied(scored), ["u", "w", "_salt"])
-    agg = j.groupBy(*keys).agg(F.sum(F.col("logp") * F.col("cnt")).alias("_s"), F.sum("cnt").alias("_n"))
+    blocks = packed(df.withColumn(text, dummy_fill(F.col(text))), keys, text, word_pairs)
+    asked = places(blocks, "item")
+    scored = lm.log_probs(asked.select("item").distinct().select(*_words("item")))
+    values = asked.join(scored.select(F.concat_ws(" ", "u", "w").alias("item"), F.col("logp").alias("value")), "item")
+    agg = text_sums(blocks, values, keys)
     return agg.select(*keys, F.round(F.exp(-(F.col("_s") / FIXED_POINT) / F.col("_n")), 6).alias(out))
