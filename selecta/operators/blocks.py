@@ -8,14 +8,16 @@ place in the block meet the table, and the values meet the block again. So a
 shuffle moves a block's numbers and its distinct items, and an item that every
 text holds has one row a block.
 
-Rows of equal keys count as one text: texts are dealt by key and read in its order.
+Rows of equal keys count as one text: their texts are dealt by key and read in its order, others are read where they are.
 Blocks are staged, so that both sides of a lookup read the same ones.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from functools import reduce
 from itertools import chain
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +29,11 @@ from pyspark.sql import types as T
 from selecta.llm.common import bounded_batches, lean, stage
 
 #: (text, item) entries after which a block ends.
-BLOCK_ENTRIES = 200_000
+BLOCK_ENTRIES = 1_000_000
 #: Distinct items that a task counts before it passes them on.
 HELD_ITEMS = 200_000
+#: Keys of several rows up to which only their texts are dealt; above, all are.
+MOST_REPEATED = 10_000
 
 
 def words(text: str) -> list:
@@ -81,10 +85,19 @@ def _by_key(batches, items, lead: str | None):
 
 
 def _dealt(df: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """Rows (k0, .., t) with those of equal keys next to each other. Texts whose key comes once stay where they are."""
     bounded_batches(df.sparkSession)
     rows = df.select(*(F.col(k).alias(f"k{i}") for i, k in enumerate(keys)), F.col(text).alias("t"))
     names = [f"k{i}" for i in range(len(keys))]
-    return rows.repartition(*names).sortWithinPartitions(*names)
+    many = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*names).limit(MOST_REPEATED + 1).collect()
+    if not many:
+        return rows
+    if len(many) > MOST_REPEATED:
+        return rows.repartition(*names).sortWithinPartitions(*names)
+    made = df.sparkSession.createDataFrame(many, rows.select(*names).schema).toDF(*(f"r{n}" for n in names))
+    same = reduce(and_, (rows[n].eqNullSafe(made[f"r{n}"]) for n in names))
+    again = rows.join(F.broadcast(made), same, "left_semi").repartition(*names).sortWithinPartitions(*names)
+    return rows.join(F.broadcast(made), same, "left_anti").unionByName(again)
 
 
 def text_counts(df: DataFrame, keys: list[str], text: str, items=words, lead: str | None = None) -> DataFrame:

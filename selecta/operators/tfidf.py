@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from selecta.llm.common import bounded_batches, lean, stage
+from selecta.llm.common import bounded_batches, drop_shuffles, free, lean, stage
 from selecta.operators.blocks import Block, fixed, packed, places, ranged, text_counts, with_values
 from selecta.operators.joins import one_row
 
@@ -46,11 +46,11 @@ class TfIdf:
         """Frequencies over the texts of ``corpus``; ``keys`` identify a row. ``task`` is M2's description,
         whose words come before those of every text that is not null."""
         df = stage(text_counts(corpus, keys, text, lead=task).toDF("token", "df"), "frequencies")
+        drop_shuffles(corpus.sparkSession)
         return cls(df, corpus.agg(F.count(F.lit(1)).alias("_n")), task)
 
-    def _weighed(self, df: DataFrame, keys: list[str], text: str, run, schema) -> DataFrame:
-        """``run(Block, idf of its terms, norm of each text)`` of the blocks of ``df``."""
-        blocks = packed(df, keys, text, lead=self.task)
+    def _weighed(self, blocks: DataFrame, run, schema: T.StructType) -> DataFrame:
+        """``run(Block, idf of its terms, norm of each text)`` of the blocks."""
         j = places(blocks, "token").join(self.frequencies, "token", "left").crossJoin(one_row(self.total))
         idf = F.log((1 + F.col("_n")) / (1 + F.coalesce(F.col("df"), F.lit(0)))) + 1
 
@@ -60,17 +60,19 @@ class TfIdf:
             norms = np.sqrt(np.array([float(s) for s in block.sums(fixed(weight * weight, FIXED))]) / FIXED)
             return run(block, values, norms)
 
-        return with_values(blocks, j.select("block", "pos", idf.alias("idf")), weigh, schema(blocks))
+        return with_values(blocks, j.select("block", "pos", idf.alias("idf")), weigh, schema)
 
     def units(self, df: DataFrame, keys: list[str], text: str) -> "Vectors":
         """The unit vectors, one for each key."""
         def run(block: Block, idf: np.ndarray, norms: np.ndarray) -> pa.Table:
             return pa.table({**block.columns, "idf": pa.array([idf], _WEIGHTS), "norms": pa.array([norms], _WEIGHTS)})
 
-        numbers = T.ArrayType(T.DoubleType())
-        out = self._weighed(df, keys, text, run, lambda blocks: T.StructType([
-            *blocks.schema.fields, T.StructField("idf", numbers), T.StructField("norms", numbers)]))
-        return Vectors(stage(out, "vectors"), keys)
+        numbers, blocks = T.ArrayType(T.DoubleType()), packed(df, keys, text, lead=self.task)
+        vectors = stage(self._weighed(blocks, run, T.StructType([
+            *blocks.schema.fields, T.StructField("idf", numbers), T.StructField("norms", numbers)])), "vectors")
+        free(blocks)                                          # the vectors hold all of it
+        drop_shuffles(df.sparkSession)
+        return Vectors(vectors, keys)
 
     def encode(self, df: DataFrame, keys: list[str], text: str) -> DataFrame:
         """(keys, terms, weights): one unit vector a row, tokens in order; rows with blank text have empty arrays."""
@@ -78,7 +80,8 @@ class TfIdf:
             rows = np.repeat(np.arange(len(norms)), block.list("copies").to_numpy(zero_copy_only=False))
             return _rows(block, keys, block.counts * idf[block.index] / norms[block.row], rows, nameless=True)
 
-        return self._weighed(df, keys, text, run, lambda blocks: _schema(
+        blocks = packed(df, keys, text, lead=self.task)
+        return self._weighed(blocks, run, _schema(
             blocks, keys, ("terms", T.ArrayType(T.StringType())), ("weights", T.ArrayType(T.DoubleType()))))
 
 
@@ -159,7 +162,9 @@ def sparse_centroids(entries: Vectors, label: str, sizes: DataFrame) -> DataFram
     kind = entries.blocks.schema[label].dataType.elementType
     part = entries.map(run, T.StructType([T.StructField(label, kind), T.StructField("token", T.StringType()), T.StructField("_p", T.LongType())]))
     sums = part.groupBy(label, "token").agg(F.sum(F.col("_p").cast("decimal(38,0)")).alias("_s"))
-    return sums.join(sizes, label).select(label, "token", (F.col("_s").cast("double") / FIXED / F.col("n")).alias("weight"))
+    out = stage(sums.join(sizes, label).select(label, "token", (F.col("_s").cast("double") / FIXED / F.col("n")).alias("weight")), "centroids")
+    drop_shuffles(out.sparkSession)
+    return out
 
 
 def _labels(block: Block, label: str) -> tuple[pa.Array, np.ndarray]:
@@ -168,17 +173,30 @@ def _labels(block: Block, label: str) -> tuple[pa.Array, np.ndarray]:
     return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+def _held(entries: Vectors, label: str) -> DataFrame:
+    """(block, label, pos, token): the terms that each label's texts hold in each block."""
+    def run(block: Block, weight: np.ndarray) -> pa.Table:
+        kinds, code = _labels(block, label)
+        n = max(len(block.list("terms")), 1)
+        slot = np.unique(code[block.row] * n + block.index)
+        pos = pa.array(slot % n)
+        own = pa.array(np.full(len(slot), block.columns["block"][0].as_py(), np.int64))
+        return pa.table([own, kinds.take(pa.array(slot // n)), pos.cast(pa.int32()), block.list("terms").take(pos)], ["block", label, "pos", "token"])
+
+    kind = entries.blocks.schema[label].dataType.elementType
+    return entries.map(run, T.StructType([T.StructField("block", T.LongType()), T.StructField(label, kind), T.StructField("pos", T.IntegerType()), T.StructField("token", T.StringType())]))
+
+
 def centroid_cosines(entries: Vectors, keys: list[str], label: str, centroids: DataFrame) -> DataFrame:
     """(keys, cosine): cosine of each unit vector with the centroid of its own label."""
     square = F.round(F.col("weight") * F.col("weight") * FIXED).cast("decimal(38,0)")
     norms = centroids.groupBy(label).agg(F.sqrt(F.sum(square).cast("double") / FIXED).alias("_norm"))
     c = centroids.join(norms, label).select(label, "token", (F.col("weight") / F.col("_norm")).alias("_c"))
-    asked = entries.blocks.select("block", "terms", F.explode(F.array_distinct(label)).alias(label))
-    found = asked.select("block", label, F.posexplode("terms").alias("pos", "token")).join(c, [label, "token"]).select("block", label, "pos", "_c")
+    found = _held(entries, label).join(c, [label, "token"]).select("block", label, "pos", "_c")
 
     def run(block: Block, values: pa.Table) -> pa.Table:
         kinds, code = _labels(block, label)
-        n = len(block.list("terms"))
+        n = len(block.list("idf"))
         center = np.full((len(kinds), max(n, 1)), np.nan)
         mine = pa.compute.index_in(values.column(label), kinds).to_numpy()
         center[mine, values.column("pos").to_numpy()] = values.column("_c").to_numpy()
@@ -189,4 +207,4 @@ def centroid_cosines(entries: Vectors, keys: list[str], label: str, centroids: D
         at = pa.array(rows)
         return pa.table([*(block.list(k).take(at) for k in keys), pa.array([sums[i] / FIXED for i in rows], pa.float64())], [*keys, "cosine"])
 
-    return with_values(entries.blocks, found, run, _schema(entries.blocks, keys, ("cosine", T.DoubleType())))
+    return with_values(entries.blocks.drop("terms", "copies"), found, run, _schema(entries.blocks, keys, ("cosine", T.DoubleType())))
